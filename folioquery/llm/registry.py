@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from folioquery.llm.mixing import OP6_SQL, op6_mixing
 from folioquery.llm.packing import op1_harmonic_packing
 
 QUERIES = {
     "op1_harmonic_packing": op1_harmonic_packing,
+    "op6_mixing": op6_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_mixing": OP6_SQL,
+}
