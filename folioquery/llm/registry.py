@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from folioquery.llm.fingerprints import OP5_SQL, op5_multiset_hash
 from folioquery.llm.mixing import OP6_SQL, op6_mixing
 from folioquery.llm.packing import op1_harmonic_packing
 
 QUERIES = {
     "op1_harmonic_packing": op1_harmonic_packing,
+    "op5_multiset_hash": op5_multiset_hash,
     "op6_mixing": op6_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_multiset_hash": OP5_SQL,
     "op6_mixing": OP6_SQL,
 }
