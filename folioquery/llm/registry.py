@@ -5,14 +5,17 @@ from __future__ import annotations
 from folioquery.llm.fingerprints import OP5_SQL, op5_multiset_hash
 from folioquery.llm.mixing import OP6_SQL, op6_mixing
 from folioquery.llm.packing import op1_harmonic_packing
+from folioquery.llm.url_filters import OP9_SQL, op9_url_language_model
 
 QUERIES = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op5_multiset_hash": op5_multiset_hash,
     "op6_mixing": op6_mixing,
+    "op9_url_language_model": op9_url_language_model,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_multiset_hash": OP5_SQL,
     "op6_mixing": OP6_SQL,
+    "op9_url_language_model": OP9_SQL,
 }
