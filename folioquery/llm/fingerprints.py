@@ -115,7 +115,9 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprint(text: Column) -> Column:
-    return vector(*hashed(text))
+    """The fingerprint's words; the arrays of hashes are bound, so that each is computed once and not for every word."""
+    whole, parts = hashed(text)
+    return F.transform(F.array(F.struct(whole.alias("w"), parts.alias("p"))), lambda h: vector(h["w"], h["p"]))[0]
 
 
 def with_next(docs: DataFrame, value: Column | None = None, block: int = BLOCK) -> DataFrame:
