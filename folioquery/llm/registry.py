@@ -6,10 +6,12 @@ from folioquery.llm.fingerprints import OP5_SQL, op5_multiset_hash
 from folioquery.llm.mixing import OP6_SQL, op6_mixing
 from folioquery.llm.packing import op1_harmonic_packing
 from folioquery.llm.pii import op8_feistel_pseudonyms
+from folioquery.llm.secrets import op4_secret_scan
 from folioquery.llm.url_filters import OP9_SQL, op9_url_language_model
 
 QUERIES = {
     "op1_harmonic_packing": op1_harmonic_packing,
+    "op4_secret_scan": op4_secret_scan,
     "op5_multiset_hash": op5_multiset_hash,
     "op6_mixing": op6_mixing,
     "op8_feistel_pseudonyms": op8_feistel_pseudonyms,
