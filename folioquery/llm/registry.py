@@ -7,6 +7,7 @@ from folioquery.llm.mixing import OP6_SQL, op6_mixing
 from folioquery.llm.packing import op1_harmonic_packing
 from folioquery.llm.pii import op8_feistel_pseudonyms
 from folioquery.llm.secrets import op4_secret_scan
+from folioquery.llm.tiff import op10_tiff
 from folioquery.llm.url_filters import OP9_SQL, op9_url_language_model
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op8_feistel_pseudonyms": op8_feistel_pseudonyms,
     "op9_url_language_model": op9_url_language_model,
+    "op10_tiff": op10_tiff,
 }
 
 ORACLE_SQL: dict[str, str] = {
