@@ -8,10 +8,12 @@ from folioquery.llm.packing import op1_harmonic_packing
 from folioquery.llm.pii import op8_feistel_pseudonyms
 from folioquery.llm.secrets import op4_secret_scan
 from folioquery.llm.tiff import op10_tiff
+from folioquery.llm.toxicity import op2_nnpu_toxicity
 from folioquery.llm.url_filters import OP9_SQL, op9_url_language_model
 
 QUERIES = {
     "op1_harmonic_packing": op1_harmonic_packing,
+    "op2_nnpu_toxicity": op2_nnpu_toxicity,
     "op4_secret_scan": op4_secret_scan,
     "op5_multiset_hash": op5_multiset_hash,
     "op6_mixing": op6_mixing,
