@@ -199,8 +199,13 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text") -> Dat
     return with_values.withColumn(text_col, replaced(text, F.col("_pii")))
 
 
+def _count(kinds: Column, kind: str) -> Column:
+    return F.size(F.filter(kinds, lambda k: k == kind)).cast("long")
+
+
 def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with personal data replaced, and how many values of each kind."""
     out = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("_pii", lambda v, k=k: v["kind"].eqNullSafe(F.lit(k)))).cast("long").alias(f"n_{k}") for k in KINDS]
+    kinds = F.transform("_pii", lambda v: F.coalesce(v["kind"], F.lit("")))
+    counts = [_count(kinds, k).alias(f"n_{k}") for k in KINDS]
     return out.select("doc_id", *counts, "text")

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from folioquery.llm.pii import KEY, ROUNDS, feistel, found, pseudonymise
+from folioquery.llm.pii import KEY, ROUNDS, feistel, found, op8_feistel_pseudonyms, pseudonymise
 
 
 def brute_feistel(symbols, radices, kind, key=KEY):
@@ -68,3 +68,8 @@ def test_rows_columns_and_links(spark):
     assert re.sub(r"\D", "", out[0].text.split(" ", 1)[1]) == out[4].text.split(" ")[0]
     assert out[4].text.endswith(out[0].text.split(" ")[0]) and "word word" in out[4].text
     assert pseudonymise(df.limit(0)).count() == 0
+
+
+def test_query_counts(spark):
+    out = op8_feistel_pseudonyms(spark, "/root/testdata/sf0.001").toPandas()
+    assert len(out) == 200 and out[["n_email", "n_ip", "n_card", "n_phone"]].sum().min() > 0
