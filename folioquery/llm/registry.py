@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from folioquery.llm.fingerprints import OP5_SQL, op5_multiset_hash
+from folioquery.llm.line_dedup import op7_line_dedup
 from folioquery.llm.mixing import OP6_SQL, op6_mixing
 from folioquery.llm.packing import op1_harmonic_packing
 from folioquery.llm.pii import op8_feistel_pseudonyms
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op5_multiset_hash": op5_multiset_hash,
     "op6_mixing": op6_mixing,
+    "op7_line_dedup": op7_line_dedup,
     "op8_feistel_pseudonyms": op8_feistel_pseudonyms,
     "op9_url_language_model": op9_url_language_model,
     "op10_tiff": op10_tiff,
