@@ -99,6 +99,29 @@ def deletions(lines: DataFrame) -> DataFrame:
     return lines.select(*kept, "line", "early", "late").mapInArrow(run, fields)
 
 
+def within_one(a: str, b: str) -> bool:
+    """Whether the edit distance is at most 1, in time linear in the length (but for a logarithm)."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    low, high = 0, min(len(a), len(b))
+    while low < high:  # length of the common start
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[:middle] == b[:middle] else (low, middle - 1)
+    return a[low + 1 :] == b[low + 1 :] if len(a) == len(b) else a[low + 1 :] == b[low:] if len(a) > len(b) else a[low:] == b[low + 1 :]
+
+
+def verified(pairs: DataFrame) -> DataFrame:
+    """Rows whose last two columns, two lines, are at most one edit apart, without these."""
+    schema = pairs.drop("line", "kept_line").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            same = [within_one(a, b) for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            yield batch.select([0, 1, 2]).filter(pa.array(same))
+
+    return pairs.mapInArrow(run, schema)
+
+
 def _place(prefix: str = "") -> Column:
     return F.struct(*[F.col(f"{prefix}{c}").alias(c) for c in ("doc_id", "row", "place")])
 
@@ -144,12 +167,10 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         .agg(F.min("earlier").alias("earlier"))
     )
     texts = known.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("line").alias("kept_line"))
-    near = durable(
-        candidates.join(known.select("h1", "h2", "line"), ["h1", "h2"])
-        .join(texts, (F.col("earlier.h1") == F.col("k1")) & (F.col("earlier.h2") == F.col("k2")))
-        .where(F.levenshtein("line", "kept_line", 1).between(0, 1))
-        .select("h1", "h2", F.col("earlier.doc_id").alias("kept_doc_id"))
+    paired = candidates.join(known.select("h1", "h2", "line"), ["h1", "h2"]).join(
+        texts, (F.col("earlier.h1") == F.col("k1")) & (F.col("earlier.h2") == F.col("k2"))
     )
+    near = durable(verified(paired.select("h1", "h2", F.col("earlier.doc_id").alias("kept_doc_id"), "line", "kept_line")))
     repeats = durable(firsts.where("n > 1").drop("n"))
     exact = occurrences.join(small(repeats), ["h1", "h2"]).where(_place() > F.col("first"))
     exact = exact.select("doc_id", "row", "place", F.col("first.doc_id").alias("kept_doc_id"), F.lit(1).alias("equal"))

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from folioquery.llm.line_dedup import dedup_lines, half_keys
+from folioquery.llm.line_dedup import dedup_lines, half_keys, within_one
 
 
 def distance(a, b):
@@ -78,3 +78,10 @@ def test_defined_cases(spark):
     assert got[5, 6].text == "" and got[5, 6]._kept_in == [3, 5] or got[5, 6]._kept_in == [3]
     assert got[6, 7].text == long and got[7, 8].text == "" and got[8, 9].text == other.upper()
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_within_one():
+    rng = random.Random(9)
+    for _ in range(3000):
+        a, b = ("".join(rng.choice("ab") for _ in range(rng.randrange(6))) for _ in range(2))
+        assert within_one(a, b) == (distance(a, b) <= 1), (a, b)
