@@ -195,8 +195,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         .agg(F.array_sort(F.collect_set("place")).alias("_removed"), F.array_sort(F.collect_set("kept_doc_id")).alias("_kept_in"))
     )
     gone = durable(gone.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "_removed", "_kept_in"))
-    lines = gone.agg(F.coalesce(F.sum(F.size("_removed")), F.lit(0))).first()[0]
-    joined = docs.join(small(gone, lines), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_row")), "left")
+    # a merge join at every size: what goes grows with the input
+    joined = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_row")), "left")
     split = F.split("text", "\n", -1)
     rest = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_removed")), lambda k: F.get(split, k))
     cleaned = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
