@@ -1 +1 @@
-
+"""Inputs: tables, derived Markdown, file listings."""
