@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioquery.plans import documents, structure, terms
+from folioquery.plans import documents, review, structure, terms
 
-_MODULES = (documents, structure, terms)
+_MODULES = (documents, structure, terms, review)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
