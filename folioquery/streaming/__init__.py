@@ -1 +1 @@
-
+"""Streams of result events."""
