@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioquery.plans import canonical, documents, review, structure, terms
+from folioquery.plans import canonical, documents, review, runs, structure, terms
 
-_MODULES = (documents, structure, terms, review, canonical)
+_MODULES = (documents, structure, terms, review, canonical, runs)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
