@@ -13,6 +13,9 @@ are picked on the sample by how much more often they occur in P than in U.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -167,7 +170,21 @@ def _unique_features(docs: DataFrame) -> list[tuple[bool, np.ndarray]]:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["positive", "hashes"])
 
     rows = docs.mapInArrow(run, "positive boolean, hashes binary").toArrow()
-    return [(p, np.frombuffer(h, "<u4")) for p, h in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)]
+    out = []
+    for batch in rows.to_batches():  # views of Arrow's buffers, not a Python object for each document
+        offsets = np.frombuffer(batch.column(1).buffers()[1], np.int32)[batch.column(1).offset :][: batch.num_rows + 1]
+        values = np.frombuffer(batch.column(1).buffers()[2] or b"", np.uint8)
+        marks = batch.column(0).to_pylist()
+        out += [(marks[k], values[offsets[k] : offsets[k + 1]].view("<u4")) for k in range(batch.num_rows)]
+    return out
+
+
+def release_memory() -> None:
+    """Give freed memory of the driver's Python back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, prior: float | None = None) -> Model:
@@ -194,7 +211,10 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
     each = F.when(F.col("positive") & unlabelled, F.array(F.lit(True), F.lit(False))).when(F.col("positive"), F.array(F.lit(True))).when(unlabelled, F.array(F.lit(False)))
     sample = _unique_features(marked.withColumn("row", F.explode(each)).select(F.col("row").alias("positive"), "text"))
     share = prior if prior is not None else counts["p"] / counts["n"]
-    return fit([h for p, h in sample if p], [h for p, h in sample if not p], share)
+    model = fit([h for p, h in sample if p], [h for p, h in sample if not p], share)
+    del sample
+    release_memory()
+    return model
 
 
 def with_scores(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
