@@ -135,7 +135,8 @@ def with_next(docs: DataFrame, value: Column | None = None, block: int = BLOCK)
     bounds = base.agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")).first()
     least, most, n = bounds["least"] or 0, bounds["most"] or 0, bounds["n"]
     width = max(1, (most - least + 1) * block // max(n, 1))
-    null_first = F.coalesce(F.floor((F.col("doc_id") - F.lit(least)) / F.lit(width)), F.lit(-1)).cast("long")
+    # decimals: ids may span all of 64 bits
+    null_first = F.coalesce(F.expr(f"(cast(doc_id as decimal(20,0)) - {least}BD) div {width}BD"), F.lit(-1)).cast("long")
     placed = base.withColumn("value", F.lit(None).cast("string") if value is None else value).withColumn("range", null_first)
     firsts = base.withColumn("range", null_first).groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull(), F.col("doc_id"), F.col("text"))).alias("first"))
     first = firsts.select("range", F.col("first.doc_id").alias("doc_id"), F.col("first.text").alias("text"))

@@ -52,6 +52,8 @@ def test_next_document(spark):
 
 def test_single_and_empty(spark):
     schema = "doc_id long, text string"
+    wide = with_next(spark.createDataFrame([(-(2**63), "low"), (2**63 - 1, "high"), (0, "mid")], schema), block=2).collect()
+    assert {r.text: r.next_text for r in wide} == {"low": "mid", "mid": "high", "high": "low"}
     assert with_next(spark.createDataFrame([(3, "abc")], schema)).first().next_text == "abc"
     assert with_next(spark.createDataFrame([], schema)).count() == 0
     assert with_next(spark.createDataFrame([(None, None)], schema)).first().next_text == ""
