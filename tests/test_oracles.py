@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from folioquery import registry
@@ -20,10 +21,10 @@ def duck():
 
 
 def plain(value):
-    if value is None or value != value:
-        return "NULL"
     if isinstance(value, (list, tuple)) or type(value).__name__ == "ndarray":
         return [plain(x) for x in value]
+    if pd.isna(value):
+        return "NULL"
     if isinstance(value, bool) or type(value).__name__ == "bool_":
         return str(bool(value))
     if isinstance(value, (int, float)) or type(value).__name__.startswith(("int", "float")):
