@@ -231,15 +231,14 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
     signed = durable(signatures(docs, idf, bands, rows, width))
     nodes = signed.groupBy("node").agg(F.any_value("keys").alias("keys"))
     member = nodes.select("node", F.explode("keys").alias("key"))
-    sizes = durable(member.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    n_keys = sizes.count()
-    met = durable(member.join(small(sizes, n_keys), "key"))
+    sizes = member.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = durable(member.join(sizes, "key"))
     # the member that meets most others leads its key
-    weight = met.groupBy("node").agg(F.sum("size").alias("weight"))
+    weight = durable(met.groupBy("node").agg(F.sum("size").alias("weight")))
     n_nodes = weight.count()
-    led = met.join(small(durable(weight), n_nodes), "node")
-    leaders = durable(led.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top")).select("key", F.col("top.node").alias("leader")))
-    groups = durable(met.join(small(leaders, n_keys), "key").select("leader", "node").where("leader <> node").distinct())
+    led = met.join(weight, "node")
+    leaders = led.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top")).select("key", F.col("top.node").alias("leader"))
+    groups = durable(met.join(leaders, "key").select("leader", "node").where("leader <> node").distinct())
 
     texts = (
         docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -252,8 +251,7 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
 
     # each leader against blocks of its members
     blocks = durable(groups.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks")))
-    n_leaders = blocks.count()
-    right = groups.join(small(blocks, n_leaders), "leader").select("leader", _spread(F.col("node"), F.col("blocks")).alias("block"), "node", F.lit(1).alias("side"))
+    right = groups.join(blocks, "leader").select("leader", _spread(F.col("node"), F.col("blocks")).alias("block"), "node", F.lit(1).alias("side"))
     left = blocks.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("leader").alias("node"), F.lit(0).alias("side"))
     nothing = [F.lit(0).cast("long").alias("component"), F.lit(0.0).alias("dist")]
     cells = left.unionByName(right).join(texts, "node").select("leader", "block", "side", "node", *nothing, "text")
@@ -262,20 +260,17 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
 
     # leaders whose members are in several components
     found = components(links)
-    n_found = found.count()
     around = star.select(F.col("a").alias("leader"), F.col("b").alias("node"), (1 - F.col("sim")).alias("dist"))
     around = around.unionByName(blocks.select("leader", F.col("leader").alias("node"), F.lit(0.0).alias("dist")))
-    placed = around.join(small(found, n_found), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = around.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     by_component = placed.groupBy("leader", "component").agg(F.count(F.lit(1)).alias("n"))
     main = by_component.groupBy("leader").agg(F.max(F.struct("n", "component")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    main = durable(main.select("leader", F.col("m.component").alias("main")))
-    n_open = main.count()
-    bins = placed.join(small(main, n_open), "leader").withColumn("bin", F.floor(F.col("dist") / _BIN).cast("int")).withColumn("other", F.col("component") != F.col("main"))
+    main = main.select("leader", F.col("m.component").alias("main"))
+    bins = placed.join(main, "leader").withColumn("bin", F.floor(F.col("dist") / _BIN).cast("int")).withColumn("other", F.col("component") != F.col("main"))
     bins = durable(bins.select("leader", "node", "component", "dist", "bin", "other"))
     counted = bins.groupBy("leader", "other", "bin").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
     counted = durable(counted)
-    n_counted = counted.count()
-    blocked = bins.join(small(counted, n_counted), ["leader", "other", "bin"]).withColumn("block", _spread(F.col("node"), F.col("blocks")))
+    blocked = bins.join(counted, ["leader", "other", "bin"]).withColumn("block", _spread(F.col("node"), F.col("blocks")))
     # cells of two blocks whose distances to the leader allow a link; a pair of two others is compared once
     parts = counted.select("leader", "other", "bin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     one, two = parts.where("other"), parts
@@ -288,8 +283,7 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
     spots = pair.select("leader", "cell", F.lit(0).alias("side"), *[F.col(f"x_{c}").alias(c) for c in ("other", "bin", "block")]).unionByName(
         pair.select("leader", "cell", F.lit(1).alias("side"), *[F.col(f"y_{c}").alias(c) for c in ("other", "bin", "block")])
     )
-    spots = durable(spots)
-    rest = blocked.join(small(spots, spots.count()), ["leader", "other", "bin", "block"]).join(texts, "node")
+    rest = blocked.join(durable(spots), ["leader", "other", "bin", "block"]).join(texts, "node")
     rest = rest.select("leader", "cell", "side", "node", "component", "dist", "text")
     more = _compare(rest, ["leader", "cell"], idf, width, similarity, False).select("a", "b")
     return signed, links.unionByName(more)
@@ -306,11 +300,10 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     """
     signed, links = near_links(docs, similarity, bands, rows, width)
     found = components(links)
-    labelled = signed.select("doc_id", "node").join(small(found, found.count()), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = signed.select("doc_id", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = durable(labelled)
     names = labelled.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    several = durable(names.where("class_size > 1"))
-    joined = labelled.join(small(several, several.count()), "component", "left")
+    joined = labelled.join(names.where("class_size > 1"), "component", "left")
     return joined.select("doc_id", "node", F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
 
 
@@ -322,9 +315,8 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> Dat
     classes = near_classes(docs, similarity).where("class_size > 1")
     classes = durable(classes)
     keepers = classes.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("node"))).alias("k"))
-    keepers = durable(keepers.select(F.col("class_id").alias("kept"), F.col("k.doc_id").alias("kept_doc"), F.col("k.node").alias("kept_node")))
-    n = keepers.count()
-    of = classes.select("doc_id", "node", "class_id").distinct().join(small(keepers, n), F.col("class_id").eqNullSafe(F.col("kept")))
+    keepers = keepers.select(F.col("class_id").alias("kept"), F.col("k.doc_id").alias("kept_doc"), F.col("k.node").alias("kept_node"))
+    of = classes.select("doc_id", "node", "class_id").distinct().join(keepers, F.col("class_id").eqNullSafe(F.col("kept")))
     dropped = of.where(~(F.col("doc_id").eqNullSafe(F.col("kept_doc")) & (F.col("node") == F.col("kept_node"))))
     dropped = durable(dropped.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")))
     text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
