@@ -121,7 +121,7 @@ QUERIES = {
     )
 }
 
-_FINDINGS = """findings AS (
+FINDINGS_SQL = """findings AS (
   SELECT user_id % 40 AS doc_id, event_id AS ordinal, CASE WHEN event_id % 9 > 0 THEN event_id % 7 + 1 END AS first_line, trim(event_type) AS original,
          (floor(value)::BIGINT % 3)::VARCHAR AS category, [1, 2, 3, 2, 0][event_id % 5 + 1] AS rank, substr(props, 1, event_id % 9 + 1) AS revised,
          'because ' || (event_id % 100) AS reason, substr(sha256(props), 1, 6) AS evidence FROM events
@@ -135,8 +135,8 @@ merged AS (
 _CELLS = """cells AS (SELECT p_partkey AS cell_id, CASE WHEN p_size > 15 THEN 'accepted' WHEN p_size % 5 = 0 THEN 'failed' ELSE 'pending' END AS status, p_brand AS stage, p_size % 4 AS attempts FROM part)"""
 
 ORACLE_SQL = {
-    "findings_dedupe": f"WITH {_FINDINGS} SELECT doc_id, first_line, original, category, severity, revised, reason, evidence, ordinal, merged FROM merged",
-    "findings_order": f"WITH {_FINDINGS} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first_line NULLS LAST, rank, ordinal) AS place, first_line, original, category, severity, ordinal FROM merged",
+    "findings_dedupe": f"WITH {FINDINGS_SQL} SELECT doc_id, first_line, original, category, severity, revised, reason, evidence, ordinal, merged FROM merged",
+    "findings_order": f"WITH {FINDINGS_SQL} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first_line NULLS LAST, rank, ordinal) AS place, first_line, original, category, severity, ordinal FROM merged",
     "grounding_status": """WITH claims AS (SELECT DISTINCT conv_id AS claim_id FROM conversations),
       pairs AS (SELECT claim_id, n_nationkey AS p, claim_id * 31 + n_nationkey * 7 AS mixed FROM claims CROSS JOIN nation),
       judged AS (SELECT claim_id, CASE WHEN mixed % 101 = 0 THEN NULL WHEN claim_id % 3 = 0 THEN 'no-basis' WHEN mixed % 97 = 0 THEN 'contradicted' WHEN mixed % 2 = 0 THEN 'no-basis' ELSE 'supported' END AS status FROM pairs)

@@ -103,3 +103,24 @@ def test_runs(spark):
     cache = spark.createDataFrame([("k1", 1, "v")], "key string, seq long, value string")
     entries = spark.createDataFrame([("k1", 5, "x"), ("k2", 3, "late"), ("k2", 2, "first")], "key string, seq long, value string")
     assert [tuple(r) for r in runs.publish(cache, entries).collect()] == [("k2", 2, "first")]
+
+
+def test_assembly(spark):
+    from folioquery.operators import assembly as A
+
+    given = docs(spark, "1\n2\n3\n4", "a", None)
+    edits = spark.createDataFrame([(0, 2, 3, "X"), (0, 3, 3, "Y"), (0, 9, 9, "Z"), (1, 1, 1, "b\nc")], "doc_id long, first int, last int, text string")
+    assert {r.doc_id: r.text for r in A.apply_edits(given, edits).collect()} == {0: "1\nX\n4", 1: "b\nc", 2: None}
+    urls = docs(spark, "http://a.com/x.tar.gz?q", "https://u@h/", "ftp://x", "http://127.0.0.1/", "http://LOCALHOST", None)
+    assert [r[0] for r in urls.select(A.url_admissible(F.col("text"))).collect()] == [True, False, False, False, False, False]
+    assert [r[0] for r in urls.select(A.source_stem(F.col("text"))).collect()][0] == "x.tar"
+    pdf = spark.createDataFrame([(bytearray(b"%PDF-1.7 ... %%EOF\n"),), (bytearray(b"%PDF-1.7"),), (bytearray(b"x %%EOF"),), (None,)], "c binary")
+    assert [r[0] for r in pdf.select(A.pdf_problem(F.col("c"))).collect()] == [None, "end", "magic", "empty"]
+    files = spark.createDataFrame([("w/chunk_2.fr.md", "b"), ("w/chunk_10.fr.md", "c"), ("w/chunk_1.de.md", "x"), ("n.md", "y")], "path string, text string")
+    assert sorted(tuple(r) for r in A.chunk_files(files, "fr").collect()) == [(2, "b"), (10, "c")]
+    results = spark.createDataFrame([("a", '[{"cell": "c1", "ok": true}]'), ("b", '{"results": [{"cell": "c2", "ok": false}]}'), ("c", "no")], "path string, text string")
+    assert sorted((r.path, r.cell, r.ok) for r in A.result_rows(results, "cell:string,ok:boolean").collect()) == [("a", "c1", True), ("b", "c2", False)]
+    saved = A.save_glossary(spark.createDataFrame([("b", "y", "high"), ("a", "x", None)], "source string, target string, confidence string")).first().text
+    assert saved == '{"terms":[{"source":"a","target":"x"},{"source":"b","target":"y","confidence":"high"}]}'
+    refs = spark.createDataFrame([(0, "x"), (1, "y"), (2, "x")], "ordinal int, value string")
+    assert sorted(tuple(r) for r in A.expand_references(refs).collect()) == [(0, "x"), (1, "y")]
