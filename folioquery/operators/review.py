@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioquery.operators.blocks import pack
 
-SEVERITIES = ("critical", "high", "medium", "low")
+SEVERITIES = ("high", "medium", "low")
 ATTEMPTS = 3
 #: Children of a reducer: a budget of 50 000 characters with 10 001 for each child's output.
 ARITY, DEPTH = 4, 3
@@ -16,7 +16,7 @@ ARITY, DEPTH = 4, 3
 def severity_rank(severity: Column) -> Column:
     """Place of a severity; a missing one counts as medium."""
     ranks = F.create_map(*[F.lit(x) for i, s in enumerate(SEVERITIES) for x in (s, i)])
-    return F.coalesce(F.element_at(ranks, severity), F.lit(2))
+    return F.coalesce(F.element_at(ranks, severity), F.lit(1))
 
 
 def dedupe_findings(findings: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ BATCH_CHARS = 400
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    severity = F.element_at(F.array(*[F.lit(s) for s in ("high", "medium", "low", None, "critical")]), (F.col("event_id") % 5 + 1).cast("int"))
+    severity = F.element_at(F.array(*[F.lit(s) for s in ("high", "medium", "low", None, "high")]), (F.col("event_id") % 5 + 1).cast("int"))
     return read(spark, sf_dir, "events").select(
         (F.col("user_id") % 40).alias("doc_id"),
         F.col("event_id").alias("ordinal"),
@@ -123,11 +123,11 @@ QUERIES = {
 
 FINDINGS_SQL = """findings AS (
   SELECT user_id % 40 AS doc_id, event_id AS ordinal, CASE WHEN event_id % 9 > 0 THEN event_id % 7 + 1 END AS first_line, trim(event_type) AS original,
-         (floor(value)::BIGINT % 3)::VARCHAR AS category, [1, 2, 3, 2, 0][event_id % 5 + 1] AS rank, substr(props, 1, event_id % 9 + 1) AS revised,
+         (floor(value)::BIGINT % 3)::VARCHAR AS category, [0, 1, 2, 1, 0][event_id % 5 + 1] AS rank, substr(props, 1, event_id % 9 + 1) AS revised,
          'because ' || (event_id % 100) AS reason, substr(sha256(props), 1, 6) AS evidence FROM events
 ),
 merged AS (
-  SELECT doc_id, first_line, original, category, ['critical', 'high', 'medium', 'low'][min(rank) + 1] AS severity, min(rank) AS rank,
+  SELECT doc_id, first_line, original, category, ['high', 'medium', 'low'][min(rank) + 1] AS severity, min(rank) AS rank,
          first(revised ORDER BY length(coalesce(revised, '')) DESC, ordinal) AS revised, first(reason ORDER BY length(coalesce(reason, '')) DESC, ordinal) AS reason,
          array_to_string(list_sort(list_distinct(list(evidence))), ',') AS evidence, min(ordinal) AS ordinal, count(*) AS merged
   FROM findings GROUP BY doc_id, first_line, original, category
