@@ -9,18 +9,23 @@ from folioquery.operators.blocks import blocks_of, let, lines_of
 from folioquery.operators.structure import HEADING, heading_level
 
 
+#: The marker of a list item.
+ITEM = r"^\s*([-*+]|\d{1,9}[.)])\s+"
+
+
 def nodes(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, ordinal, node_id, type, level, first, last, text): headings, paragraphs, code and tables in reading order.
+    """(id, ordinal, node_id, type, level, first, last, text): headings, paragraphs, list items, code and tables in reading order.
 
-    Blank lines make no node; each heading line is a node of its own, the lines
-    between are paragraphs. Ids are hashes of document, type and place.
+    Blank lines make no node; each heading line is a node of its own, a list item
+    takes the lines up to the next item, heading or blank line, and other lines
+    are paragraphs. Ids are hashes of document, type and place.
     """
 
     def parts(lines: Column) -> Column:
         def of(b: Column) -> Column:
             inside = F.sequence(b["first"], b["last"])
             starts = F.filter(
-                inside, lambda i: (i == b["first"]) | F.get(lines, i).rlike(HEADING) | F.get(lines, i - 1).rlike(HEADING)
+                inside, lambda i: (i == b["first"]) | F.get(lines, i).rlike(HEADING) | F.get(lines, i).rlike(ITEM) | F.get(lines, i - 1).rlike(HEADING)
             )
             begun = F.when(b["kind"] == "prose", starts).otherwise(F.array(b["first"]))
             return let(
@@ -41,7 +46,7 @@ def nodes(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     each = docs.select(id_col, F.posexplode(let(lines_of(F.col("text")), parts)).alias("ordinal", "p"))
     level = F.when(F.col("p.kind") == "prose", heading_level(F.col("p.text"))).otherwise(0)
-    kind = F.when(level > 0, "heading").when(F.col("p.kind") == "prose", "paragraph").otherwise(F.col("p.kind"))
+    kind = F.when(level > 0, "heading").when((F.col("p.kind") == "prose") & F.col("p.text").rlike(ITEM), "list_item").when(F.col("p.kind") == "prose", "paragraph").otherwise(F.col("p.kind"))
     out = each.select(
         id_col, F.col("ordinal"), kind.alias("type"), level.alias("level"), (F.col("p.first") + 1).alias("first"), (F.col("p.last") + 1).alias("last"), F.col("p.text").alias("text")
     )

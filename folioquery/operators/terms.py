@@ -62,14 +62,16 @@ def passage_top_k(terms: DataFrame, passages: DataFrame, k: int) -> DataFrame:
     """The k best passages (passage_id, ref, title, text) of each term: first the best of each source, then by score.
 
     The score is the number of occurrences, and one more if the title has the
-    needle. Ties go by passage id. Each partition keeps only ranked rows of a term.
+    needle. Ties go by passage id. A source can take k places at most, so its k
+    best rows are kept before rows meet by term; both cuts are made before the
+    shuffles by the limit that Spark puts under a window.
     """
     needle = F.lower("source")
     scored = passages.crossJoin(terms.select("term_id", "source")).where(F.lower("text").contains(needle) | F.lower("title").contains(needle))
     score = substring_count(F.lower("text"), needle) + F.lower("title").contains(needle).cast("int")
     scored = scored.select("term_id", "ref", "passage_id", score.alias("score"))
     by_score = [F.desc("score"), F.asc("passage_id")]
-    in_ref = scored.withColumn("in_ref", F.row_number().over(Window.partitionBy("term_id", "ref").orderBy(*by_score)))
+    in_ref = scored.withColumn("in_ref", F.row_number().over(Window.partitionBy("term_id", "ref").orderBy(*by_score))).where(F.col("in_ref") <= k)
     order = Window.partitionBy("term_id").orderBy((F.col("in_ref") > 1).cast("int"), *by_score)
     return in_ref.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("term_id", "place", "passage_id", "ref", "score")
 

@@ -131,18 +131,19 @@ QUERIES = {
 _NODES = (
     "WITH RECURSIVE " + CONVERSATION_MARKDOWN_SQL + "," + BLOCKS_SQL + r""",
 line_rows AS (
-  SELECT i.doc_id, i.i, i.block_no, b.kind, l.lines[i.i] AS line, b.kind = 'prose' AND regexp_matches(l.lines[i.i], '^#{1,6}\s+') AS heading
+  SELECT i.doc_id, i.i, i.block_no, b.kind, l.lines[i.i] AS line, b.kind = 'prose' AND regexp_matches(l.lines[i.i], '^#{1,6}\s+') AS heading,
+         b.kind = 'prose' AND regexp_matches(l.lines[i.i], '^\s*([-*+]|\d{1,9}[.)])\s+') AS item
   FROM islands i JOIN block_rows b USING (doc_id, block_no) JOIN line_list l USING (doc_id)
 ),
 cut AS (
-  SELECT *, CASE WHEN lag(block_no) OVER w IS DISTINCT FROM block_no OR heading OR lag(heading) OVER w THEN 1 ELSE 0 END AS fresh FROM line_rows WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+  SELECT *, CASE WHEN lag(block_no) OVER w IS DISTINCT FROM block_no OR heading OR item OR lag(heading) OVER w THEN 1 ELSE 0 END AS fresh FROM line_rows WINDOW w AS (PARTITION BY doc_id ORDER BY i)
 ),
 parts AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM cut),
 joined AS (
-  SELECT doc_id, part, min(kind) AS kind, bool_or(heading) AS heading, min(i) AS first, max(i) AS last, string_agg(line, chr(10) ORDER BY i) AS text FROM parts GROUP BY doc_id, part
+  SELECT doc_id, part, min(kind) AS kind, bool_or(heading) AS heading, bool_or(item) AS item, min(i) AS first, max(i) AS last, string_agg(line, chr(10) ORDER BY i) AS text FROM parts GROUP BY doc_id, part
 ),
 node_rows AS (
-  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS ordinal, CASE WHEN heading THEN 'heading' WHEN kind = 'prose' THEN 'paragraph' ELSE kind END AS type,
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS ordinal, CASE WHEN heading THEN 'heading' WHEN item THEN 'list_item' WHEN kind = 'prose' THEN 'paragraph' ELSE kind END AS type,
          CASE WHEN heading THEN length(regexp_extract(text, '^(#{1,6})', 1)) ELSE 0 END AS level, first, last, text
   FROM joined WHERE NOT (kind = 'prose' AND regexp_matches(text, '^\s*$'))
 ),
