@@ -231,13 +231,14 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
     signed = durable(signatures(docs, idf, bands, rows, width))
     nodes = signed.groupBy("node").agg(F.any_value("keys").alias("keys"))
     member = nodes.select("node", F.explode("keys").alias("key"))
-    sizes = member.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    # sums over a key are durable before they are joined to its rows: a join of its own can split a hot key
+    sizes = durable(member.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     met = durable(member.join(sizes, "key"))
     # the member that meets most others leads its key
     weight = durable(met.groupBy("node").agg(F.sum("size").alias("weight")))
     n_nodes = weight.count()
     led = met.join(weight, "node")
-    leaders = led.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top")).select("key", F.col("top.node").alias("leader"))
+    leaders = durable(led.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top")).select("key", F.col("top.node").alias("leader")))
     groups = durable(met.join(leaders, "key").select("leader", "node").where("leader <> node").distinct())
 
     texts = (
@@ -303,7 +304,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     labelled = signed.select("doc_id", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = durable(labelled)
     names = labelled.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    joined = labelled.join(names.where("class_size > 1"), "component", "left")
+    joined = labelled.join(durable(names.where("class_size > 1")), "component", "left")
     return joined.select("doc_id", "node", F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
 
 
