@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioquery.plans import assembly, canonical, documents, pages, review, runs, structure, terms
+from folioquery.plans import assembly, canonical, documents, pages, review, runs, structure, terms, tree
 
-_MODULES = (documents, structure, terms, review, canonical, runs, pages, assembly)
+_MODULES = (documents, structure, terms, review, canonical, runs, pages, assembly, tree)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
