@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioquery.operators import blocks as B
+from folioquery.operators import chain as C
 from folioquery.operators import pages as P
 from folioquery.sources.tables import read
 
@@ -74,8 +75,16 @@ def protected_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bound.select("doc_id", "r.spans", "r.chars", "r.restored")
 
 
+def chain_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as matches between two sequences of each user: the weight on the heaviest increasing chain."""
+    matches = read(spark, sf_dir, "events").select(
+        F.col("user_id").alias("page"), F.col("event_id").alias("left"), (F.floor("value") % 50).alias("right"), (F.col("event_id") % 7 + 1).cast("double").alias("weight")
+    )
+    return C.coverage(matches, C.page_chains(matches, ["page"]), ["page"])
+
+
 QUERIES = {
-    f.__name__: f for f in (recognised_spans, baseline_lines, body_matches, resolved_paths, sampled_windows, insertion_points, replaced_spans, protected_spans)
+    f.__name__: f for f in (chain_coverage, recognised_spans, baseline_lines, body_matches, resolved_paths, sampled_windows, insertion_points, replaced_spans, protected_spans)
 }
 
 _PROTECTED_SQL = r"```(?s:.*?)```|`[^`\n]+`|https?://[^\s<>()]+|\$[^$\n]+\$|\b[0-9a-f]{32,64}\b|(?:[A-Za-z]:)?[\\/](?:[\w.-]+[\\/])+[\w.-]+|\b[A-Z]{2,}-\d+\b"
