@@ -90,6 +90,11 @@ QUERIES = {
 _PROTECTED_SQL = r"```(?s:.*?)```|`[^`\n]+`|https?://[^\s<>()]+|\$[^$\n]+\$|\b[0-9a-f]{32,64}\b|(?:[A-Za-z]:)?[\\/](?:[\w.-]+[\\/])+[\w.-]+|\b[A-Z]{2,}-\d+\b"
 
 ORACLE_SQL = {
+    "chain_coverage": """WITH RECURSIVE e AS (SELECT user_id AS page, floor(value)::BIGINT % 50 AS r, (event_id % 7 + 1)::DOUBLE AS w, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+      walk AS (SELECT DISTINCT page, 0::BIGINT AS k, []::STRUCT(r BIGINT, b DOUBLE)[] AS s FROM e
+        UNION ALL SELECT w.page, e.k, list_append(w.s, {'r': e.r, 'b': e.w + coalesce(list_max(list_transform(list_filter(w.s, lambda x: x.r < e.r), lambda x: x.b)), 0)}) FROM walk w JOIN e ON e.page = w.page AND e.k = w.k + 1),
+      h AS (SELECT page, max(list_max(list_transform(s, lambda x: x.b))) AS held FROM walk WHERE k > 0 GROUP BY page), t AS (SELECT page, sum(w) AS total FROM e GROUP BY page)
+      SELECT page, total, held, held / total >= 0.9 AS enough FROM t JOIN h USING (page)""",
     "recognised_spans": """WITH z AS (SELECT vec_id, k, CASE WHEN (vec_id + k) % 5 = 0 THEN ' ' ELSE 'w' || (vec_id + k) END AS text, round(embedding[k + 1]::DOUBLE, 6) AS score, 2 + (vec_id + k) % 4 AS sides FROM embeddings, unnest(range(0, 4)) AS t(k)),
       j AS (SELECT *, trim(text) = '' OR sides <> 4 AS bad FROM z)
       SELECT vec_id, count(*) FILTER (WHERE NOT bad AND score >= 0) AS spans, count(*) FILTER (WHERE bad) AS invalid, count(*) FILTER (WHERE NOT bad AND score < 0) AS weak,
