@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +35,23 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of an Arrow batch between Spark and Python, at most: long texts keep a batch within some tens of MB.
+BATCH_ROWS = 2000
+
+
+def arrow_rows(df: DataFrame) -> DataFrame:
+    """The rows, with the session's Arrow batches bounded; what a task holds of them doesn't grow with the table."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
+def release_memory() -> None:
+    """Give freed memory of this Python process back to the system, where the C library can; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 2 << 20, most_rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each piece holds about ``most_bytes`` (one row at least)."""
     for batch in batches:
@@ -42,6 +61,7 @@ def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 2 << 20, most_ro
         step = int(min(most_rows, max(1, most_bytes // per_row)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+    release_memory()
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioquery.llm.common import HASH_BASE, durable, slices, splitmix, table
+from folioquery.llm.common import HASH_BASE, arrow_rows, durable, slices, splitmix, table
 
 #: Lines of fewer code points, without the white space around them, always stay.
 MIN_CHARS = 20
@@ -96,7 +96,7 @@ def deletions(lines: DataFrame) -> DataFrame:
                     names=["key", "cut", *kept],
                 )
 
-    return lines.select(*kept, "line", "early", "late").mapInArrow(run, fields)
+    return arrow_rows(lines).select(*kept, "line", "early", "late").mapInArrow(run, fields)
 
 
 def within_one(a: str, b: str) -> bool:
@@ -119,7 +119,7 @@ def verified(pairs: DataFrame) -> DataFrame:
             same = [within_one(a, b) for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
             yield batch.select([0, 1, 2]).filter(pa.array(same))
 
-    return pairs.mapInArrow(run, schema)
+    return arrow_rows(pairs).mapInArrow(run, schema)
 
 
 def _place(prefix: str = "") -> Column:

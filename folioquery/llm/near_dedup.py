@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioquery.llm.common import HASH_BASE, durable, shingle_hashes, slices, splitmix, table, word_hashes
+from folioquery.llm.common import HASH_BASE, arrow_rows, durable, release_memory, shingle_hashes, slices, splitmix, table, word_hashes
 from folioquery.llm.components import components, small
 
 WIDTH = 5
@@ -35,7 +35,7 @@ COUNTERS = 1 << 18
 #: The idf runs from 1 for a shingle of all documents to 1 + STRENGTH for one of a share of at most FLOOR, on a logarithmic scale.
 STRENGTH, FLOOR = 0.25, 0.002
 #: Rows of random draws that shingles are hashed to.
-DRAWS = 1 << 16
+DRAWS = 1 << 15
 SEED = 20011
 #: Texts of a block that is compared at once.
 BLOCK = 128
@@ -66,7 +66,7 @@ def document_frequencies(docs: DataFrame, width: int = WIDTH) -> tuple[np.ndarra
             part = seen[a : a + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["counter", "n"])
 
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    rows = arrow_rows(docs).select(F.col("text").cast("string")).mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(COUNTERS + 1, np.int64)
     out[rows.column("counter").to_numpy()] = rows.column("n").to_numpy()
     return out[:COUNTERS], int(out[COUNTERS])
@@ -156,7 +156,7 @@ def signatures(docs: DataFrame, idf: np.ndarray, bands: int = BANDS, rows: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["doc_id", "node", "keys"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select("doc_id", F.xxhash64(text).alias("node"), text.alias("text")).mapInArrow(run, f"doc_id {kind}, node long, keys array<long>")
+    return arrow_rows(docs).select("doc_id", F.xxhash64(text).alias("node"), text.alias("text")).mapInArrow(run, f"doc_id {kind}, node long, keys array<long>")
 
 
 def similarities(left: list[np.ndarray], left_w: list[np.ndarray], right: list[np.ndarray], right_w: list[np.ndarray]) -> np.ndarray:
@@ -214,6 +214,8 @@ def _compare(cells: DataFrame, keys: list[str], idf: np.ndarray, width: int, thr
                 a += [node[i]] * len(able)
                 b += node[ri[able]].tolist()
                 sim += s.tolist()
+            del left, right
+        release_memory()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sim": pa.array(sim, pa.float64())})
 
     return cells.groupBy(*keys).applyInArrow(run, "a long, b long, sim double")

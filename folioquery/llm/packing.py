@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioquery.llm.common import slices, table
+from folioquery.llm.common import arrow_rows, slices, table
 
 #: The id that closes a document.
 END_ID = 0
@@ -153,7 +153,7 @@ def pack(
         if rows[0]:
             yield flush()
 
-    return df.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    return arrow_rows(df).select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
 
 
 def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

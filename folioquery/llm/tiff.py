@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioquery.llm.common import slices, table
+from folioquery.llm.common import arrow_rows, slices, table
 
 #: Tags and values of the TIFF 6.0 specification.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -325,7 +325,7 @@ def decode_tiff(files: DataFrame, id_col: str, data_col: str) -> DataFrame:
                     ids = batch.column(0).take(pa.array([at] * len(rows)))
                     yield pa.RecordBatch.from_arrays([ids] + [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=schema.names)
 
-    return files.select(id_col, F.col(data_col).cast("binary").alias("_data")).mapInArrow(run, schema)
+    return arrow_rows(files).select(id_col, F.col(data_col).cast("binary").alias("_data")).mapInArrow(run, schema)
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
@@ -387,7 +387,7 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             rows = [one(text) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=schema.names)
 
-    return docs.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    return arrow_rows(docs).select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
 
 
 def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,9 +13,6 @@ are picked on the sample by how much more often they occur in P than in U.
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-import gc
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioquery.llm.common import prefix_hashes, range_hashes, slices, table, utf8_bytes
+from folioquery.llm.common import arrow_rows, prefix_hashes, range_hashes, release_memory, slices, table, utf8_bytes
 
 #: Documents of the sample that the classifier is fitted on, at most about so many.
 MOST_POSITIVE, MOST_UNLABELLED = 3000, 6000
@@ -169,7 +166,7 @@ def _unique_features(docs: DataFrame) -> list[tuple[bool, np.ndarray]]:
             packed = [raw[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["positive", "hashes"])
 
-    rows = docs.mapInArrow(run, "positive boolean, hashes binary").toArrow()
+    rows = arrow_rows(docs).mapInArrow(run, "positive boolean, hashes binary").toArrow()
     out = []
     for batch in rows.to_batches():  # views of Arrow's buffers, not a Python object for each document
         offsets = np.frombuffer(batch.column(1).buffers()[1], np.int32)[batch.column(1).offset :][: batch.num_rows + 1]
@@ -179,14 +176,6 @@ def _unique_features(docs: DataFrame) -> list[tuple[bool, np.ndarray]]:
     return out
 
 
-def release_memory() -> None:
-    """Give freed memory of the driver's Python back to the system, where the C library can."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, prior: float | None = None) -> Model:
     """Fit on a sample of the documents that aren't held out, of about ``most_positive`` and ``most_unlabelled`` rows.
 
@@ -229,7 +218,7 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text", score_col
             scores = pa.array(model.scores(batch.column(at)), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, score_col])
 
-    return docs.mapInArrow(run, schema)
+    return arrow_rows(docs).mapInArrow(run, schema)
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
