@@ -32,7 +32,10 @@ def durable(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # files of shuffles that nothing refers to any more go when the driver collects its garbage, which it may put off for long
+    context._jvm.System.gc()
+    return out
 
 
 #: Rows of an Arrow batch between Spark and Python, at most: long texts keep a batch within some tens of MB.

@@ -35,7 +35,7 @@ COUNTERS = 1 << 18
 #: The idf runs from 1 for a shingle of all documents to 1 + STRENGTH for one of a share of at most FLOOR, on a logarithmic scale.
 STRENGTH, FLOOR = 0.25, 0.002
 #: Rows of random draws that shingles are hashed to.
-DRAWS = 1 << 15
+DRAWS = 1 << 16
 SEED = 20011
 #: Texts of a block that is compared at once.
 BLOCK = 128
