@@ -1,7 +1,8 @@
 """Line de-duplication across documents by a deletion-neighbourhood join.
 
-Two lines are alike if they are equal or one edit apart. Equal lines meet by
-their hash. For the others, each line emits what is left of it after deleting
+Two lines are alike if they are equal or one edit apart; short lines, of which
+any two may be an edit apart, only if they are equal. Equal lines meet by their
+hash. For the others, each line emits what is left of it after deleting
 any one code point, and the line itself, as hashed keys with the deleted
 position; lines that share a key are candidates, and the edit distance of each
 is verified. A line goes if an earlier one is alike, in the order of doc_id, row
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from folioquery.llm.common import HASH_BASE, arrow_rows, durable, slices, splitmix, table
 
-#: Lines of fewer code points, without the white space around them, always stay.
+#: Lines of fewer code points, without the white space around them, have no neighbours but equal lines.
 MIN_CHARS = 20
 #: Tables of at most so many narrow rows are broadcast, larger ones are shuffled.
 BROADCAST_ROWS = 500_000
@@ -42,10 +43,10 @@ def _half(n: Column) -> Column:
     return (F.floor(n / (2 * _STEP)) * _STEP).cast("int")
 
 
-def lines_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, row, place, line, h1, h2) of each line that takes part; ``row`` tells rows of one id apart by their text."""
+def lines_of(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
+    """(doc_id, row, place, line, h1, h2) of each line of at least so many code points; ``row`` tells rows of one id apart by their text."""
     split = docs.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("place", "raw"))
-    trimmed = split.select("doc_id", "row", "place", F.trim("raw", F.lit(" \t\r")).alias("line")).where(F.length("line") >= min_chars)
+    trimmed = split.select("doc_id", "row", "place", F.trim("raw", F.lit(" \t\r")).alias("line")).where(F.length("line") >= max(1, least))
     return trimmed.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(7), F.col("line"))})
 
 
@@ -126,15 +127,19 @@ def _place(prefix: str = "") -> Column:
     return F.struct(*[F.col(f"{prefix}{c}").alias(c) for c in ("doc_id", "row", "place")])
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_equal: int | None = None) -> DataFrame:
     """(doc_id, row, place, kept_doc_id) of each line that goes, with the document of the earlier line.
 
+    Lines of at least ``min_equal`` code points (``min_chars`` if not given) are
+    compared for equality, those of at least ``min_chars`` also for an edit.
+
     Rows are aggregated before each shuffle, so a line that a third of all rows
     hold costs one row a task; joins back to the lines go by a broadcast of
     checked size or a shuffled join, whose hot keys Spark splits.
     """
-    lines = lines_of(docs, min_chars)
-    occurrences = durable(lines.withColumn("keys", half_keys(F.col("line"))).drop("line"))
+    lines = lines_of(docs, min_chars if min_equal is None else min(min_equal, min_chars))
+    fuzzy_too = F.length("line") >= min_chars
+    occurrences = durable(lines.withColumn("keys", F.when(fuzzy_too, half_keys(F.col("line")))).drop("line"))
     firsts = occurrences.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n"))
 
     # lines that share a half with another line
@@ -144,7 +149,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     suspects = durable(
         exploded.join(small(shared), "key", "left_semi").groupBy("h1", "h2").agg(F.max(~prefix).alias("early"), F.max(prefix).alias("late"))
     )
-    known = lines.join(small(suspects), ["h1", "h2"]).groupBy("h1", "h2").agg(
+    known = lines.where(fuzzy_too).join(small(suspects), ["h1", "h2"]).groupBy("h1", "h2").agg(
         F.min(_place()).alias("first"), F.any_value("line").alias("line"), F.any_value("early").alias("early"), F.any_value("late").alias("late")
     )
     known = durable(known.select("h1", "h2", "first.*", "line", "early", "late"))
@@ -179,18 +184,19 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return every.select("doc_id", "row", "place", "x.kept_doc_id")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_equal: int | None = None) -> DataFrame:
     """The documents without lines of which an earlier one is alike, with arrays ``_removed`` and ``_kept_in``.
 
     ``_removed`` has the places of the removed lines, ``_kept_in`` the ids of the
     documents that hold an earlier one. All rows stay, a text all of whose lines
-    went becomes empty; null and empty texts and lines under ``min_chars`` stay
-    as they are. Null ids come first; rows equal in id and text count as one and
+    went becomes empty; null and empty texts and blank lines stay as they are.
+    Lines under ``min_chars`` go only if an earlier one is equal and they have
+    ``min_equal`` code points, by default ``min_chars``, so that they stay. Null ids come first; rows equal in id and text count as one and
     end alike; rows of one id go by a hash of the text. Columns besides doc_id
     and text are carried along, whatever their names but the two new ones.
     """
     gone = (
-        repeated_lines(docs, min_chars)
+        repeated_lines(docs, min_chars, min_equal)
         .groupBy("doc_id", "row")
         .agg(F.array_sort(F.collect_set("place")).alias("_removed"), F.array_sort(F.collect_set("kept_doc_id")).alias("_kept_in"))
     )
@@ -207,5 +213,5 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without repeated lines, with what was removed and which documents hold it earlier."""
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_equal=1)
     return out.select("doc_id", F.size("_removed").cast("long").alias("n_removed"), F.array_join("_removed", ",").alias("removed"), F.array_join("_kept_in", ",").alias("kept_in"), "text")

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from folioquery.llm.line_dedup import dedup_lines, half_keys, within_one
+from folioquery.llm.line_dedup import dedup_lines, half_keys, op7_line_dedup, within_one
 
 
 def distance(a, b):
@@ -85,3 +85,11 @@ def test_within_one():
     for _ in range(3000):
         a, b = ("".join(rng.choice("ab") for _ in range(rng.randrange(6))) for _ in range(2))
         assert within_one(a, b) == (distance(a, b) <= 1), (a, b)
+
+
+def test_short_lines_in_the_query(spark, tmp_path):
+    line = "a line that is long enough"
+    rows = [(1, f"Les.\n\n{line}"), (2, "Les.\nLes!\n}\n"), (3, f"}}\n Les. \nLes!\n\n{line}s")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.text, r.removed, r.kept_in) for r in op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (rows[0][1], "", ""), 2: ("Les!\n}\n", "0", "1"), 3: ("", "0,1,2,4", "1,2")}
