@@ -49,30 +49,43 @@ def unified_diff(before: pd.Series, after: pd.Series) -> pd.Series:
 WINDOWS, VOTES, MOST_WINDOWS = (160, 120, 80, 48, 32), 3, 64
 
 
+def unique_at(whole: str, part: str) -> int:
+    """Where a part that occurs exactly once lies in the whole, overlaps counted; else -1."""
+    first = whole.find(part)
+    return first if first >= 0 and whole.find(part, first + 1) < 0 else -1
+
+
 def align(whole: str, page: str) -> tuple[int, int] | None:
-    """Start and end of a page's signature in the whole: a unique match, or windows that agree and extend to both ends."""
-    if not page:
+    """Start and end of a page's signature in the whole: a unique match, or windows that agree and extend to both ends.
+
+    Windows of all widths vote together. From the first and last window of the
+    place with most votes the match must go on, character by character, to both
+    ends of the page. Of places with equally many votes the first voted for wins.
+    """
+    if not page or not whole:
         return None
-    first = whole.find(page)
+    first = unique_at(whole, page)
     if first >= 0:
-        return (first, first + len(page)) if whole.find(page, first + 1) < 0 else None
+        return first, first + len(page)
+    votes: dict[int, list[tuple[int, int]]] = {}
     for width in WINDOWS:
-        if len(page) < width:
-            continue
         last = len(page) - width
+        if last < 0:
+            continue
         n = min(MOST_WINDOWS, last + 1)
-        starts = sorted({round(k * last / max(1, n - 1)) for k in range(n)})
-        votes: dict[int, set[int]] = {}
-        for at in starts:
-            hit = whole.find(page[at : at + width])
-            if hit >= 0 and whole.find(page[at : at + width], hit + 1) < 0 and hit >= at:
-                votes.setdefault(hit - at, set()).add(at)
-        if votes:
-            delta, support = max(votes.items(), key=lambda v: (len(v[1]), -v[0]))
-            inside = whole[delta : delta + len(page)]
-            if len(support) >= VOTES and len(inside) == len(page) and inside[:8] == page[:8] and inside[-8:] == page[-8:]:
-                return delta, delta + len(page)
-    return None
+        for at in sorted({round(k * last / max(1, n - 1)) for k in range(n)}):
+            hit = unique_at(whole, page[at : at + width])
+            if hit >= 0:
+                votes.setdefault(hit - at, []).append((at, at + width))
+    if not votes:
+        return None
+    delta, support = max(votes.items(), key=lambda v: len(v[1]))
+    if delta < 0 or len({at for at, _ in support}) < VOTES or len(whole) < delta + len(page):
+        return None
+    start, end = min(at for at, _ in support), max(to for _, to in support)
+    if whole[delta : delta + start] != page[:start] or whole[delta + end : delta + len(page)] != page[end:]:
+        return None
+    return delta, delta + len(page)
 
 
 @F.pandas_udf(_SPAN)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from folioquery.functions.text import align, strip_marks, target_present, unified_diff, visible_signature
@@ -66,6 +68,18 @@ def test_page_alignment():
     assert align("xx" + changed + "yy", page) == (2, 2 + len(page))
 
 
+def test_page_alignment_is_proven_to_both_ends():
+    page = "".join(chr(97 + (k * k) % 23) + str(k) for k in range(200))
+    for at in (9, 20, len(page) - 10):  # between the ends and the windows that agree
+        assert align("xx" + page[:at] + "#" + page[at + 1 :] + "yy", page) is None
+    rng = random.Random(6)
+    long = "".join(rng.choice("abcdefghij") for _ in range(20_000))
+    # two windows of each width agree, at six places of the page together
+    damaged = long[:170] + "".join("#" if k % 20 == 0 else c for k, c in enumerate(long[170:-170])) + long[-170:]
+    assert align("xx" + damaged + "yy", long) == (2, 20_002)
+    assert align("xx" + page[50:] + "yy", page) is None
+
+
 def test_stream_agrees_with_batch(spark, tmp_path):
     rows = [(e % 5, e, "ab"[e % 4 == 0], e % 3 != 0, e % 11 == 0) for e in range(1, 200)]
     schema = "cell_id long, seq long, payload string, valid boolean, stale boolean"
