@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import difflib
+import functools
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +22,11 @@ def strip_marks(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)).lower())
 
 
+@functools.cache
+def _folded(char: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKC", char).casefold() if c.isalnum())
+
+
 @F.pandas_udf(_SIGNATURE)
 def visible_signature(text: pd.Series) -> pd.DataFrame:
     """Letters and digits in compatibility form and folded case, with the offset in the text of each."""
@@ -27,14 +34,45 @@ def visible_signature(text: pd.Series) -> pd.DataFrame:
     for x in text:
         marks, offsets = [], []
         for at, c in enumerate(x or ""):
-            for folded in unicodedata.normalize("NFKC", c).casefold():
-                if folded.isalnum():
-                    marks.append(folded)
-                    offsets.append(at)
+            for folded in _folded(c):
+                marks.append(folded)
+                offsets.append(at)
         rows.append(("".join(marks), offsets))
     return pd.DataFrame(rows, columns=["signature", "offsets"])
 
 
+@F.pandas_udf(T.StringType())
+def bare_signature(text: pd.Series) -> pd.Series:
+    """The visible signature without offsets; null is empty."""
+    return text.map(lambda x: "".join(map(_folded, x or "")))
+
+
+#: Code points of a piece of a signature. A window of 2 * PIECE - 1 or more holds one that starts at a multiple of PIECE of its page.
+PIECE = 16
+
+
+def _pieces(signature: str, step: int) -> np.ndarray:
+    code = np.frombuffer(signature.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    starts = np.arange(0, len(code) - PIECE + 1, step)
+    out = np.zeros(len(starts), np.uint64)
+    for k in range(PIECE if len(starts) else 0):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + code[starts + k]
+        out ^= out >> np.uint64(29)
+    return np.unique(out).view(np.int64)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def every_piece(signature: pd.Series) -> pd.Series:
+    """Hashes of all pieces of a signature, wherever they start."""
+    return signature.map(lambda x: _pieces(x or "", 1))
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def page_pieces(signature: pd.Series) -> pd.Series:
+    """Hashes of the pieces of a page's signature that lie side by side."""
+    return signature.map(lambda x: _pieces(x or "", PIECE))
+
+
 @F.pandas_udf(T.StringType())
 def unified_diff(before: pd.Series, after: pd.Series) -> pd.Series:
     """A unified diff of two texts by lines; empty where they are equal."""

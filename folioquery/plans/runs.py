@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioquery.functions.text import page_span, target_present, unified_diff, visible_signature
+from folioquery.functions.text import PIECE, bare_signature, every_piece, page_pieces, page_span, target_present, unified_diff
 from folioquery.operators import runs as R
 from folioquery.operators import terms as T
 from folioquery.sources.tables import read
@@ -64,11 +64,24 @@ def target_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the benchmark texts lie in the documents that share their first words, by visible signatures."""
-    quotes = read(spark, sf_dir, "benchmark").select("item_id", "text", visible_signature("text")["signature"].alias("page"))
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("whole_text"))
-    near = docs.join(F.broadcast(quotes), F.col("whole_text").contains(F.substring("text", 1, 24)))
-    spans = near.select("doc_id", "item_id", page_span(visible_signature("whole_text")["signature"], F.col("page")).alias("span"))
+    """Where the benchmark texts lie in the documents that share a piece of their visible signatures.
+
+    A span needs the whole signature or windows of it that agree, and both hold a
+    piece; the span of a pair that shares a piece without such proof is null.
+    """
+    quotes = read(spark, sf_dir, "benchmark").select("item_id", bare_signature("text").alias("page"))
+    quotes = quotes.withColumn("pieces", page_pieces("page")).agg(
+        F.collect_list(F.struct("item_id", "page", "pieces")).alias("quotes"), F.array_distinct(F.flatten(F.collect_list("pieces"))).alias("known")
+    )
+    docs = read(spark, sf_dir, "documents").select("doc_id", bare_signature("text").alias("whole"))
+    met = docs.withColumn("pieces", every_piece("whole")).crossJoin(F.broadcast(quotes)).withColumn("shared", F.array_intersect("known", "pieces"))
+
+    def near(quote: Column) -> Column:
+        short = (quote["page"] != "") & F.col("whole").contains(quote["page"])
+        return F.when(F.length(quote["page"]) < PIECE, short).otherwise(F.arrays_overlap(quote["pieces"], F.col("shared")))
+
+    pairs = met.select("doc_id", "whole", F.explode(F.filter("quotes", near)).alias("quote"))
+    spans = pairs.select("doc_id", "quote.item_id", page_span(F.col("whole"), F.col("quote.page")).alias("span"))
     return spans.select("doc_id", "item_id", "span.start", "span.end")
 
 

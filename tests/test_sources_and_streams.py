@@ -4,6 +4,7 @@ import pytest
 
 from folioquery.functions.text import align, strip_marks, target_present, unified_diff, visible_signature
 from folioquery.operators.review import ingest
+from folioquery.plans.runs import page_alignment
 from folioquery.sources import glossary as G
 from folioquery.streaming.ingest import ingest_stream
 
@@ -80,6 +81,18 @@ def test_page_alignment_is_proven_to_both_ends():
     assert align("xx" + page[50:] + "yy", page) is None
 
 
+def test_page_alignment_query_despite_case_and_first_words(spark, tmp_path):
+    rng = random.Random(8)
+    quote, other = (" ".join("".join(rng.choice("abcdefgé") for _ in range(5)) for _ in range(30)) for _ in range(2))
+    upper = quote.upper().replace(" ", ",\n")
+    texts = ["One. " + quote, f"Two: {upper}!", "x" + quote[1:], f"{upper} / {upper}", other, None, "", "Q w-Z 9", quote[:60] + "zz" + quote[90:]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, quote), (2, "q wz9"), (3, "..."), (4, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {(r.doc_id, r.item_id): (r.start, r.end) for r in page_alignment(spark, str(tmp_path)).collect()}
+    none = (None, None)
+    assert got == {(0, 1): (3, 153), (1, 1): (3, 153), (2, 1): none, (3, 1): none, (7, 2): (0, 4), (8, 1): none}
+
+
 def test_stream_agrees_with_batch(spark, tmp_path):
     rows = [(e % 5, e, "ab"[e % 4 == 0], e % 3 != 0, e % 11 == 0) for e in range(1, 200)]
     schema = "cell_id long, seq long, payload string, valid boolean, stale boolean"
