@@ -334,8 +334,7 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + bytes(max(ROW - len(raw), -len(raw) % ROW))
 
 
-#: Layouts by the payload's checksum: small payloads take turns, large ones are deflated, with and without tiles and predictor.
-SMALL = 4096
+#: Layouts, one of which the payload's checksum picks at every size.
 LAYOUTS = (
     {"compression": PACKBITS},
     {"compression": LZW, "predictor": 2},
@@ -348,8 +347,7 @@ def store(payload: bytes) -> bytes:
     """The payload as grey pages of 64 samples a row; the layout depends on the payload alone."""
     grey = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
     turn = zlib.crc32(payload)
-    layout = LAYOUTS[turn % 4] if len(payload) <= SMALL else LAYOUTS[2 + turn % 2] | ({"tile": (64, 256)} if turn % 2 == 0 else {"strip_rows": 1024})
-    return write_tiff([grey[y : y + PAGE_ROWS] for y in range(0, len(grey), PAGE_ROWS)], order="<>"[turn >> 3 & 1], **layout)
+    return write_tiff([grey[y : y + PAGE_ROWS] for y in range(0, len(grey), PAGE_ROWS)], order="<>"[turn >> 3 & 1], **LAYOUTS[turn % 4])
 
 
 def feature(pages: list[Page]) -> str:

@@ -98,3 +98,17 @@ def test_media_features(spark):
         assert got[doc].media_sha256 == hashlib.sha256(store(payload)).hexdigest() and got[doc].media_bytes == len(store(payload))
     assert got[3][1:] == got[4][1:] and got[1][1:] == got[2][1:] and got[5].feature.startswith("pages=3;")
     assert media_features(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("size", [64, 6400, 640_000])
+def test_every_layout_at_every_size(size):
+    rng = random.Random(size)
+    seen = set()
+    for _ in range(30):
+        payload = (" ".join(rng.choice(["aaaa", "le", "été", "word"]) for _ in range(size // 4)).encode() + bytes(size))[:size]
+        pages = read_tiff(store(payload))
+        assert b"".join(p.samples.tobytes() for p in pages) == payload
+        seen |= {(p.compression, p.tiled) for p in pages}
+        if len(seen) == 4:
+            break
+    assert seen == {(tiff.PACKBITS, False), (tiff.LZW, False), (tiff.ADOBE_DEFLATE, True), (tiff.ADOBE_DEFLATE, False)}
