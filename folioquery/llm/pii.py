@@ -15,6 +15,8 @@ digit or an at sign; nothing is exploded or shuffled.
 
 from __future__ import annotations
 
+import calendar
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,13 +26,15 @@ KEY = "change-me"
 ROUNDS = 8
 #: Days from 1900-01-01 to 2099-12-31; 17 * 4297.
 FIRST_DAY, DAY_RADICES = "1900-01-01", (17, 4297)
+#: Day and month of dates that only day-first order can mean, in a common year; the leap days of these 200 years are 49.
+DAY_FIRST = tuple(f"{d:02d}/{m:02d}" for m in range(1, 13) for d in range(13, calendar.monthrange(2001, m)[1] + 1))
 _ALNUM = "0-9A-Za-z"
 
 #: Patterns by kind, in order of precedence at one place.
 PATTERNS = {
     "email": rf"(?<![{_ALNUM}._%+-])[{_ALNUM}._%+-]++@[{_ALNUM}-]+(?:\.[{_ALNUM}-]+)*\.[A-Za-z]{{2,}}",
     "ip": rf"(?<![{_ALNUM}.])[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}}(?![{_ALNUM}]|\.[0-9])",
-    "date": rf"(?<![{_ALNUM}./-])(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}\.[0-9]{{2}}\.[0-9]{{4}}|[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}})(?![{_ALNUM}/-])",
+    "date": rf"(?<![{_ALNUM}./-])(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}\.[0-9]{{2}}\.[0-9]{{4}}|[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}})(?:(?![{_ALNUM}/-])|(?=[Tt][0-9]{{2}}:?[0-9]{{2}}))",
     "ssn": rf"(?<![{_ALNUM}-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![{_ALNUM}-])",
     "card": rf"(?<![{_ALNUM}.])(?:[0-9]{{13,19}}|[0-9]{{4}} [0-9]{{4}} [0-9]{{4}} [0-9]{{1,7}}|[0-9]{{4}}-[0-9]{{4}}-[0-9]{{4}}-[0-9]{{1,7}}|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{5}})(?![{_ALNUM}])",
     "phone": (
@@ -111,6 +115,19 @@ def _ip(match: Column, key: str) -> Column:
     return F.when(F.forall(octets, lambda x: x < 256), F.array_join(F.transform(new, lambda x: x.cast("string")), "."))
 
 
+def _day_first(match: Column, key: str) -> Column:
+    """A dd/MM/yyyy with a day over 12 as another such date, so that none meets the pseudonym of an MM/dd/yyyy; leap days stay leap days."""
+    days = F.array(*map(F.lit, DAY_FIRST))
+    year, at = F.substring(match, 7, 4).try_cast("long"), F.array_position(days, F.substring(match, 1, 5)) - 1
+    leap = F.floor((year - 1904) / 4).cast("long")
+    common = feistel(_longs(year - 1900, at), _longs(200, len(DAY_FIRST)), key, "day-first")
+    leaps = feistel(_longs(F.floor(leap / 7), F.pmod(leap, F.lit(7))), _longs(7, 7), key, "leap-day")
+    is_leap = match.startswith("29/02/") & year.between(1904, 2096) & (F.pmod(year, F.lit(4)) == 0)
+    return F.when(year.between(1900, 2099) & (at >= 0), _let(common, lambda x: F.concat(F.element_at(days, (x[1] + 1).cast("int")), F.lit("/"), (x[0] + 1900).cast("string")))).when(
+        is_leap, _let(leaps, lambda x: F.concat(F.lit("29/02/"), (1904 + 4 * (7 * x[0] + x[1])).cast("string")))
+    )
+
+
 def _date(match: Column, key: str) -> Column:
     day = F.coalesce(*[F.to_date(F.try_to_timestamp(match, F.lit(f))) for f in ("yyyy-MM-dd", "dd.MM.yyyy", "MM/dd/yyyy")])
     number = F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long")
@@ -118,7 +135,8 @@ def _date(match: Column, key: str) -> Column:
     new = feistel(F.array(F.floor(number / F.lit(b)).cast("long"), F.pmod(number, F.lit(b)).cast("long")), _longs(a, b), key, "date")
     moved = _let(new, lambda x: F.date_add(F.lit(FIRST_DAY).cast("date"), (x[0] * b + x[1]).cast("int")))
     shape = F.when(match.contains("-"), F.date_format(moved, "yyyy-MM-dd")).when(match.contains("."), F.date_format(moved, "dd.MM.yyyy"))
-    return F.when((number >= 0) & (number < a * b), shape.otherwise(F.date_format(moved, "MM/dd/yyyy")))
+    moved_text = F.when((number >= 0) & (number < a * b), shape.otherwise(F.date_format(moved, "MM/dd/yyyy")))
+    return F.coalesce(moved_text, F.when(match.contains("/") & day.isNull(), _day_first(match, key)))
 
 
 def _ssn(match: Column, key: str) -> Column:

@@ -59,6 +59,24 @@ def test_invalid_values_stay(spark, text):
     assert all(v.kind is None and v.pseudonym == v.value for v in run(spark, text))
 
 
+def test_dates_with_the_day_first_and_with_a_time(spark):
+    years = [1900, 1904, 1999, 2000, 2024, 2096, 2099]
+    every = [datetime.date(y, 1, 1) + datetime.timedelta(k) for y in years for k in range(366 if y % 4 == 0 and y > 1900 else 365)]
+    first = [f"{d:%d/%m/%Y}" for d in every if d.day > 12]
+    got = run(spark, " ".join(first))
+    assert [v.value for v in got] == first and {v.kind for v in got} == {"date"}
+    new = [v.pseudonym for v in got]
+    assert len(set(new)) == len(first) and sum(a == b for a, b in zip(first, new)) < 20
+    assert all(datetime.datetime.strptime(x, "%d/%m/%Y").day > 12 and 1900 <= int(x[6:]) <= 2099 for x in new)
+    a, b = brute_feistel([124, [*dict.fromkeys(x[:5] for x in first if x[6:] == "1999")].index("25/12")], [200, 221], "day-first")
+    assert run(spark, "25/12/2024")[0].pseudonym == f"{[x[:5] for x in first if x[6:] == '1999'][b]}/{a + 1900}"
+    assert [v.kind for v in run(spark, "29/02/2023 31/04/2024 25/13/2024 25/12/1899 29/02/1900 12/25/2024")] == [None] * 5 + ["date"]
+    stamps = run(spark, "2024-05-01T10:00:00Z 2024-05-01 2024-05-01Tx 2024-05-01t1000")
+    assert [(v.kind, v.value) for v in stamps] == [("date", "2024-05-01")] * 3 and len({v.pseudonym for v in stamps}) == 1
+    text = pseudonymise(spark.createDataFrame([("at 2024-05-01T10:00:00Z.",)], "text string")).first().text
+    assert text == f"at {stamps[0].pseudonym}T10:00:00Z."
+
+
 def test_rows_columns_and_links(spark):
     rows = [(1, "a@b.co 4918 1871 2863 5271", "c"), (1, "a@b.co 4918 1871 2863 5271", "c"), (None, None, None), (2, "", "x"), (3, "4918187128635271 " + "word " * 20000 + "a@b.co", "é")]
     df = spark.createDataFrame(rows, "doc_id long, text string, kind string")
