@@ -299,20 +299,23 @@ PAGE_FIELDS = "page int, width int, height int, samples int, bits int, compressi
 def decode_tiff(files: DataFrame, id_col: str, data_col: str) -> DataFrame:
     """One row per page of each file: its shape and its samples in row order, native byte order.
 
-    A null or empty file, or one that can't be read, gives one row with a null
-    page and the reason; the pages before a broken one are kept. Rows may repeat.
+    A page that can't be decoded gives a row with its number and the reason. A
+    null or empty file, or a chain of directories that is broken, gives one with
+    a null page; the pages before the break are kept. Rows may repeat.
     Further columns aren't read. One file is decoded at a time.
     """
     schema = T.StructType([T.StructField(id_col, files.schema[id_col].dataType)] + T._parse_datatype_string(PAGE_FIELDS).fields)
 
     def pages(data: bytes | None) -> Iterator[tuple]:
-        number = 0
         try:
-            for order, tags in directories(data or b""):
-                p = read_page(data, order, tags)
+            for number, (order, tags) in enumerate(directories(data or b"")):
+                try:
+                    p = read_page(data, order, tags)
+                except TiffError as broken:
+                    yield (number,) + (None,) * 8 + (str(broken),)
+                    continue
                 h, w, n = p.samples.shape
                 yield (number, w, h, n, p.bits, p.compression, p.predictor, p.tiled, p.samples.tobytes(), None)
-                number += 1
         except TiffError as broken:
             yield (None,) * 9 + (str(broken),)
 

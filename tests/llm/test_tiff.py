@@ -87,6 +87,18 @@ def test_rows_per_page_and_broken_files(spark):
     assert sorted(r.id for r in out if r.error) == [2, 3, 4, 5]
 
 
+def test_pages_after_one_that_cannot_be_decoded(spark):
+    good = write_tiff([np.full((2, 3), k, np.uint8) for k in range(3)])
+    entry = struct.pack("<HHIH", 259, 3, 1, tiff.ADOBE_DEFLATE)
+    at = good.index(entry, good.index(entry) + 1)
+    jpeg = good[: at + 8] + struct.pack("<H", 7) + good[at + 10 :]
+    cut = good[:-4] + struct.pack("<I", len(good) + 9)
+    out = decode_tiff(spark.createDataFrame([(1, jpeg), (2, cut)], "id int, data binary"), "id", "data").collect()
+    rows = sorted(((r.id, r.page, r.error is None, r.data and bytes(r.data)) for r in out), key=lambda r: (r[0], r[1] is None, r[1]))
+    whole = [(k, True, bytes([k]) * 6) for k in range(3)]
+    assert rows == [(1, *whole[0]), (1, 1, False, None), (1, *whole[2]), *((2, *w) for w in whole), (2, None, False, None)]
+
+
 def test_media_features(spark):
     long = "é0123456789 " * 200_000
     rows = [(1, None, "x"), (2, "", "x"), (3, "abc", "x"), (4, "abc", "x"), (5, long, "x"), (None, "z" * 64, "x")]
