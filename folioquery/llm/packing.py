@@ -1,21 +1,22 @@
 """Harmonic packing of tokenised documents into fixed-capacity sequences.
 
-Every document is cut into pieces whose lengths fall into reciprocal-capacity
-classes: class k holds lengths in (capacity/(k+1), capacity/k], and a bin of
-class k is full with exactly k pieces. Each worker fills the bins of its own
-input split, so the packing needs no shuffle and no shared state.
-
-Cuts are chosen so that bins fill without waste: a remainder is cut into powers
-of two down to ``min_piece``, which divide the capacity, and one shorter tail.
-What a worker has left in open bins at its end is not padded either: left-over
-tails are cut into powers of two, and k left-over pieces of one power become
-sequences whose length is a power of two, which need no padding.
+Class k holds lengths in (capacity/(k+1), capacity/k], and a bin of class k takes
+exactly k pieces. A document's whole capacities are bins of their own, and what
+is left of it goes uncut into the open bin of its class. Each worker fills the
+bins of its own input split, so the packing needs no shuffle and no shared state.
+
+A bin that has its k pieces is short of the capacity by less than one more piece
+of its class. It waits for the documents that come next, whose first ids fill it
+up; nothing else is cut. What a worker has left in open bins at its end is put in
+a row and cut at the capacity, and the last of it into powers of two, which need
+no padding.
 """
 
 from __future__ import annotations
 
 import base64
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,8 @@ from folioquery.llm.common import arrow_rows, slices, table
 
 #: The id that closes a document.
 END_ID = 0
+#: The vocabulary's special token; its id follows those of the ranks.
+SPECIAL = "<|endoftext|>"
 
 
 def default_vocabulary() -> str:
@@ -39,57 +42,69 @@ def default_vocabulary() -> str:
 
 
 def load_encoder(path: str):
-    """A tiktoken encoder over a rank file; special strings in a text are ordinary text."""
+    """A tiktoken encoder over a rank file; where a text spells out the special token, it is that token, as in ``byte_bpe_50k.json``."""
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: len(ranks)})
 
 
 class HarmonicPacker:
     """Fills the bins of one worker. Pieces are (tag, start, ids); bins come out as lists of pieces."""
 
-    def __init__(self, capacity: int = 1024, min_piece: int = 64):
-        if capacity & (capacity - 1) or min_piece & (min_piece - 1) or not 0 < min_piece <= capacity:
-            raise ValueError("capacity and min_piece must be powers of two, min_piece at most capacity")
-        self.capacity, self.min_piece = capacity, min_piece
-        self.open: dict[tuple[str, int], list] = {}
-
-    def _put(self, kind: str, key: int, per_bin: int, piece: tuple) -> Iterator[list]:
-        pieces = self.open.setdefault((kind, key), [])
-        pieces.append(piece)
-        if len(pieces) == per_bin:
-            yield self.open.pop((kind, key))
-
-    def _powers(self, tag, start: int, ids: np.ndarray, least: int) -> Iterator[list]:
-        """Place as many powers of two of at least ``least`` as fit; what is shorter is a tail."""
-        at, size = 0, self.capacity
-        while size >= least:
-            if len(ids) - at >= size:
-                yield from self._put("power", size, self.capacity // size, (tag, start + at, ids[at : at + size]))
-                at += size
-            else:
-                size //= 2
-        if at < len(ids):
-            tail = ids[at:]
-            k = self.capacity // len(tail)
-            yield from self._put("class", k, k, (tag, start + at, tail))
+    def __init__(self, capacity: int = 1024):
+        if capacity < 1 or capacity & (capacity - 1):
+            raise ValueError("capacity must be a power of two")
+        self.capacity = capacity
+        self.open: dict[int, list] = {}
+        #: Bins with all pieces of their class that aren't full, with what they lack.
+        self.short: deque[tuple[list, int]] = deque()
 
     def add(self, tag, ids: np.ndarray) -> Iterator[list]:
-        yield from self._powers(tag, 0, ids, self.min_piece)
+        at = 0
+        while self.short and at < len(ids):
+            pieces, lack = self.short.popleft()
+            part = ids[at : at + lack]
+            pieces.append((tag, at, part))
+            at += len(part)
+            if len(part) == lack:
+                yield pieces
+            else:
+                self.short.appendleft((pieces, lack - len(part)))
+        while len(ids) - at >= self.capacity:
+            yield [(tag, at, ids[at : at + self.capacity])]
+            at += self.capacity
+        if at < len(ids):
+            k = self.capacity // (len(ids) - at)
+            pieces = self.open.setdefault(k, [])
+            pieces.append((tag, at, ids[at:]))
+            if len(pieces) == k:
+                lack = self.capacity - sum(len(x) for _, _, x in self.open.pop(k))
+                if lack:
+                    self.short.append((pieces, lack))
+                else:
+                    yield pieces
 
     def finish(self) -> Iterator[list]:
-        for key in sorted(k for k in self.open if k[0] == "class"):
-            for tag, start, ids in self.open.pop(key):
-                yield from self._powers(tag, start, ids, 1)
-        for key in sorted(self.open):
-            pieces, at = self.open.pop(key), 0
-            for bit in reversed(range(len(pieces).bit_length())):
-                if len(pieces) & (1 << bit):
-                    yield pieces[at : at + (1 << bit)]
-                    at += 1 << bit
+        bins = [pieces for pieces, _ in self.short] + [self.open[k] for k in sorted(self.open)]
+        self.short.clear()
+        self.open.clear()
+        rest = [piece for pieces in bins for piece in pieces]
+        total = sum(len(ids) for _, _, ids in rest)
+        size, filled, bin_ = self.capacity, 0, []
+        for tag, start, ids in rest:
+            at = 0
+            while at < len(ids):
+                while total < size:  # only the last bins are below the capacity
+                    size //= 2
+                part = ids[at : at + size - filled]
+                bin_.append((tag, start + at, part))
+                at, filled = at + len(part), filled + len(part)
+                if filled == size:
+                    yield bin_
+                    total, filled, bin_ = total - size, 0, []
 
 
 def pack(
@@ -98,7 +113,6 @@ def pack(
     text_col: str = "text",
     vocabulary: str | None = None,
     capacity: int = 1024,
-    min_piece: int = 64,
 ) -> DataFrame:
     """One row per piece: where its ids lie in the document and in a sequence.
 
@@ -106,7 +120,7 @@ def pack(
     repeat (each row is a document of its own); an empty table gives no rows.
     Only ``id_col`` and ``text_col`` are read, so further columns of any name do
     no harm. Texts are tokenised whole. A worker holds one batch of texts and
-    its open bins, fewer than ``capacity`` pieces in each class.
+    its open bins, at most ``capacity`` ids in each of as many classes.
     ``padded_length`` is the sequence's length, rounded up to ``capacity`` unless
     it is a power of two.
     """
@@ -118,7 +132,7 @@ def pack(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = load_encoder(path), HarmonicPacker(capacity, min_piece)
+        encoder, packer = load_encoder(path), HarmonicPacker(capacity)
         next_id = TaskContext.get().partitionId() << 33
         rows: list[list] = [[] for _ in schema.fields]
         arrow_types = None
@@ -142,7 +156,7 @@ def pack(
         for batch in slices(batches):
             arrow_types = [batch.schema.field(0).type] + [pa.int64()] * 7
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encoder.encode_to_numpy(text or "", disallowed_special=()).astype("<u4", copy=False)
+                ids = encoder.encode_to_numpy(text or "", allowed_special="all").astype("<u4", copy=False)
                 ids = np.append(ids, np.uint32(END_ID)).astype("<u4", copy=False)
                 for bin_ in packer.add((doc, len(ids)), ids):
                     close(bin_)

@@ -1,3 +1,4 @@
+import functools
 import zlib
 
 import numpy as np
@@ -8,16 +9,19 @@ from tokenizers import Tokenizer
 from folioquery.llm.packing import HarmonicPacker, pack
 
 
+@functools.cache
+def tokenizer():
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def reference_ids(text):
-    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    return np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+    return np.array([*tokenizer().encode(text or "", add_special_tokens=False).ids, 0], "<u4")
 
 
 @pytest.fixture(scope="module")
 def rows():
     long = " ".join(f"word{i} été" for i in range(3000))
-    return [(0, "hello world"), (1, None), (2, ""), (3, long), (3, long), (None, "no id"), (5, "<|endoftext|> x"), *((10 + i, "tok " * i) for i in range(150))]
+    return [(0, "hello world"), (1, None), (2, ""), (3, long), (3, long), (None, "no id"), (5, "<|endoftext|> x"), (6, "a<|endoftext|>b  <|endoftext|><|endoftext|>\n c <|endoftext|"), *((10 + i, "tok " * i) for i in range(150))]
 
 
 def test_pieces_cover_documents_and_fill_sequences(spark, rows):
@@ -42,13 +46,42 @@ def test_pieces_cover_documents_and_fill_sequences(spark, rows):
     assert (waste.p - waste.n).sum() <= 0.01 * waste.p.sum()
 
 
-def test_class_bins_hold_a_fixed_count():
-    packer = HarmonicPacker(1024, 64)
-    bins = [b for i in range(40) for b in packer.add(i, np.zeros(60, np.uint32))]
-    assert [len(b) for b in bins] == [1024 // 60] * 2
+@pytest.mark.parametrize("length", [1, 60, 100, 170, 341, 342, 512, 513, 700, 1023, 1024, 1025, 3000])
+def test_bins_hold_a_fixed_count_and_no_padding(length):
+    packer = HarmonicPacker(1024)
+    bins = [b for i in range(80) for b in packer.add(i, np.full(length, i, np.uint32))]
+    for b in bins:
+        assert sum(len(p[2]) for p in b) == 1024
+        k = 1024 // len(b[0][2])
+        assert k == 1 or all(1024 // len(p[2]) == k for p in b[:k])  # what follows fills the bin up
     rest = list(packer.finish())
-    assert sum(len(p[2]) for b in bins + rest for p in b) == 40 * 60
     assert all((n := sum(len(p[2]) for p in b)) & (n - 1) == 0 for b in rest)
+    seen = {}
+    for b in bins + rest:
+        for tag, start, ids in b:
+            assert len(ids) and (ids == tag).all()
+            seen.setdefault(tag, []).append((start, start + len(ids)))
+    for tag in range(80):
+        spans = sorted(seen[tag])
+        assert spans[0][0] == 0 and spans[-1][1] == length and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_mixed_lengths_are_cut_at_most_once_for_each_bin():
+    rng = np.random.default_rng(3)
+    packer, pieces, bins = HarmonicPacker(1024), 0, 0
+    lengths = rng.integers(1, 1500, 500)
+    out = [b for i, n in enumerate(lengths) for b in packer.add(i, np.zeros(n, np.uint32))]
+    out += list(packer.finish())
+    assert sum(len(p[2]) for b in out for p in b) == lengths.sum()
+    assert sum(len(b) for b in out) <= len(lengths) + 2 * len(out)
+
+
+def test_special_tokens_are_those_of_the_tokenizer():
+    from folioquery.llm.packing import default_vocabulary, load_encoder
+
+    encoder = load_encoder(default_vocabulary())
+    for text in ("<|endoftext|>", "a<|endoftext|>b", " <|endoftext|>  <|endoftext|>x", "<|endoftext", "<|ENDOFTEXT|>", "é<|endoftext|>\n\n d"):
+        assert list(encoder.encode_to_numpy(text, allowed_special="all")) == list(reference_ids(text)[:-1])
 
 
 def test_empty_table(spark):
