@@ -30,6 +30,8 @@ TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FORMAT = 322, 323, 32
 STORED, LZW, ADOBE_DEFLATE, PACKBITS, DEFLATE = 1, 5, 8, 32773, 32946
 _TYPES = {1: "u1", 2: "u1", 3: "u2", 4: "u4", 5: "u4", 6: "i1", 7: "u1", 8: "i2", 9: "i4", 10: "i4", 11: "f4", 12: "f8", 13: "u4", 16: "u8", 17: "i8", 18: "u8"}
 _PER_VALUE = {5: 2, 10: 2}
+#: Bytes of a page's samples, at most; a larger one doesn't fit a binary value beside others.
+MOST_BYTES = 1 << 30
 #: Rows of a page that the writer makes, and samples of a row.
 PAGE_ROWS, ROW = 16384, 64
 
@@ -38,16 +40,19 @@ class TiffError(ValueError):
     """The bytes are no TIFF file that this reader knows."""
 
 
-def unpackbits(data: bytes) -> bytes:
-    out, at, n = [], 0, len(data)
-    while at < n:
+def unpackbits(data: bytes, need: int = MOST_BYTES) -> bytes:
+    """Decoders stop once they have the ``need`` bytes of a strip or tile."""
+    out, at, n, done = [], 0, len(data), 0
+    while at < n and done < need:
         head = data[at]
         if head < 128:
             out.append(data[at + 1 : at + 2 + head])
             at += head + 2
+            done += head + 1
         elif head > 128:
             out.append(data[at + 1 : at + 2] * (257 - head))
             at += 2
+            done += 257 - head
         else:
             at += 1
     return b"".join(out)
@@ -66,11 +71,11 @@ def _literal(data: bytes) -> list[bytes]:
     return [bytes([len(part) - 1]) + part for k in range(0, len(data), 128) if (part := data[k : k + 128])]
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, need: int = MOST_BYTES) -> bytes:
     """Codes of 9 to 12 bits, high bits first, widened one code early; 256 clears, 257 ends."""
     roots = [bytes([k]) for k in range(256)] + [b"", b""]
     words, out, last = list(roots), [], b""
-    bits, held, width = 0, 0, 9
+    bits, held, width, done = 0, 0, 9, 0
     for byte in data:
         bits = (bits << 8) | byte
         held += 8
@@ -97,6 +102,9 @@ def lzw_decode(data: bytes) -> bytes:
                 raise TiffError("LZW code out of range")
             words.append(last + word[:1])
         out.append(word)
+        done += len(word)
+        if done >= need:
+            break
         last = word
         size = len(words)
         width = 9 if size < 511 else 10 if size < 1023 else 11 if size < 2047 else 12
@@ -133,7 +141,13 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out) + (bits << spare).to_bytes((held + spare) // 8, "big")
 
 
-_DECODERS = {STORED: bytes, LZW: lzw_decode, PACKBITS: unpackbits, ADOBE_DEFLATE: zlib.decompress, DEFLATE: zlib.decompress}
+def inflate(data: bytes, need: int) -> bytes:
+    return zlib.decompressobj().decompress(data, need) if need else b""
+
+
+_DECODERS = {STORED: lambda d, need: d[:need], LZW: lzw_decode, PACKBITS: unpackbits, ADOBE_DEFLATE: inflate, DEFLATE: inflate}
+#: No byte of a block becomes more than so many: 2 for 128 in PackBits, a word of 4096 bytes for 9 bits in LZW, 1032 in deflate.
+_MOST_GROWTH = {STORED: 1, LZW: 4096, PACKBITS: 64, ADOBE_DEFLATE: 1032, DEFLATE: 1032}
 _ENCODERS = {STORED: bytes, LZW: lzw_encode, PACKBITS: packbits, ADOBE_DEFLATE: lambda d: zlib.compress(d, 1), DEFLATE: lambda d: zlib.compress(d, 1)}
 
 
@@ -161,12 +175,15 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, np.ndarray]]]:
         at, count_type, entry, field = struct.unpack_from(order + "Q", data, 8)[0], "Q", 20, "Q"
     else:
         raise TiffError("unknown version of TIFF")
-    seen, room = set(), struct.calcsize(field)
+    seen, room, entries = set(), struct.calcsize(field), 0
     while at and at not in seen:
         seen.add(at)
         try:
             n = struct.unpack_from(order + count_type, data, at)[0]
             at += struct.calcsize(count_type)
+            entries += n
+            if entries * entry > len(data):
+                raise TiffError("directories overlap")
             tags = {}
             for k in range(n):
                 tag, kind, count = struct.unpack_from(f"{order}HH{field}", data, at + k * entry)
@@ -179,7 +196,9 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, np.ndarray]]]:
                     place = struct.unpack_from(order + field, data, place)[0]
                 tags[tag] = np.frombuffer(data, dtype, count, place)
             at = struct.unpack_from(order + field, data, at + n * entry)[0]
-        except (struct.error, ValueError) as broken:
+        except TiffError:
+            raise
+        except (struct.error, ValueError, OverflowError) as broken:
             raise TiffError("directory beyond the end of the file") from broken
         yield order, tags
 
@@ -189,7 +208,10 @@ def _one(tags: dict[int, np.ndarray], tag: int, default: int | None = None) -> i
         if default is None:
             raise TiffError(f"tag {tag} is missing")
         return default
-    return int(tags[tag][0])
+    value = tags[tag][0]
+    if not 0 <= value < 2**63:
+        raise TiffError(f"tag {tag} is out of range")
+    return int(value)
 
 
 def _block(raw: bytes, shape: tuple[int, int, int], bits: int, dtype: np.dtype, predictor: int) -> np.ndarray:
@@ -215,7 +237,8 @@ def _block(raw: bytes, shape: tuple[int, int, int], bits: int, dtype: np.dtype,
     return out
 
 
-def read_page(data: bytes, order: str, tags: dict[int, np.ndarray]) -> Page:
+def read_page(data: bytes, order: str, tags: dict[int, np.ndarray], most_bytes: int = MOST_BYTES) -> Page:
+    """Sizes are checked against the bytes that the file has for them before anything is allocated."""
     width, height = _one(tags, WIDTH), _one(tags, HEIGHT)
     samples, planar, predictor = _one(tags, SAMPLES, 1), _one(tags, PLANAR, 1), _one(tags, PREDICTOR, 1)
     bits, compression = _one(tags, BITS, 1), _one(tags, COMPRESSION, 1)
@@ -226,6 +249,8 @@ def read_page(data: bytes, order: str, tags: dict[int, np.ndarray]) -> Page:
     kind = {1: "u", 2: "i", 3: "f"}.get(_one(tags, SAMPLE_FORMAT, 1), "u")
     if bits not in (1, 2, 4, 8, 16, 32, 64) or predictor not in (1, 2, 3) or predictor == 3 and kind != "f":
         raise TiffError("kind of samples is not supported")
+    if kind == "f" and bits < 16 or bits < 8 and predictor != 1 or not samples:
+        raise TiffError("kind of samples is not supported")
     dtype = np.dtype(f"{kind}{max(1, bits // 8)}").newbyteorder(order) if bits >= 8 else np.dtype("u1")
     tiled = TILE_OFFSETS in tags
     block_w = _one(tags, TILE_WIDTH) if tiled else width
@@ -235,14 +260,21 @@ def read_page(data: bytes, order: str, tags: dict[int, np.ndarray]) -> Page:
     groups, planes = (samples, 1) if planar == 2 else (1, samples)
     if offsets is None or counts is None or len(offsets) < across * down * groups or len(counts) < len(offsets):
         raise TiffError("offsets of strips or tiles are missing")
+    n_blocks = across * down * groups
+    spans = [(int(a), min(int(a) + int(n), len(data))) for a, n in zip(offsets[:n_blocks], counts[:n_blocks], strict=True)]
+    block_bytes = block_h * ((block_w * planes * bits + 7) // 8)
+    if max(height * width * samples * dtype.itemsize, block_bytes) > most_bytes:
+        raise TiffError(f"page of more than {most_bytes} bytes")
+    if any(a < 0 or a > len(data) for a, _ in spans) or height * width * samples * bits > 8 * _MOST_GROWTH[compression] * sum(max(0, b - a) for a, b in spans):
+        raise TiffError("strip or tile is too short")
     out = np.zeros((height, width, samples), np.uint8 if bits < 8 else dtype.newbyteorder("="))
-    for k in range(across * down * groups):
+    for k in range(n_blocks):
         group, place = divmod(k, across * down)
         y, x = (place // across) * block_h, (place % across) * block_w
         rows = block_h if tiled else min(block_h, height - y)
-        part = data[int(offsets[k]) : int(offsets[k]) + int(counts[k])]
+        need = rows * ((block_w * planes * bits + 7) // 8)
         try:
-            raw = _DECODERS[compression](part)
+            raw = _DECODERS[compression](data[spans[k][0] : spans[k][1]], need)
         except zlib.error as broken:
             raise TiffError("deflate data are broken") from broken
         block = _block(raw, (rows, block_w, planes), bits, dtype, predictor)[: height - y, : width - x]
@@ -296,10 +328,11 @@ def write_tiff(pages: list[np.ndarray], compression: int = ADOBE_DEFLATE, predic
 PAGE_FIELDS = "page int, width int, height int, samples int, bits int, compression int, predictor int, tiled boolean, data binary, error string"
 
 
-def decode_tiff(files: DataFrame, id_col: str, data_col: str) -> DataFrame:
+def decode_tiff(files: DataFrame, id_col: str, data_col: str, most_bytes: int = MOST_BYTES) -> DataFrame:
     """One row per page of each file: its shape and its samples in row order, native byte order.
 
-    A page that can't be decoded gives a row with its number and the reason. A
+    A page that can't be decoded, or whose samples have more than ``most_bytes``
+    bytes, gives a row with its number and the reason. A
     null or empty file, or a chain of directories that is broken, gives one with
     a null page; the pages before the break are kept. Rows may repeat.
     Further columns aren't read. One file is decoded at a time.
@@ -310,9 +343,9 @@ def decode_tiff(files: DataFrame, id_col: str, data_col: str) -> DataFrame:
         try:
             for number, (order, tags) in enumerate(directories(data or b"")):
                 try:
-                    p = read_page(data, order, tags)
-                except TiffError as broken:
-                    yield (number,) + (None,) * 8 + (str(broken),)
+                    p = read_page(data, order, tags, most_bytes)
+                except (TiffError, ValueError, OverflowError, MemoryError) as broken:
+                    yield (number,) + (None,) * 8 + (str(broken) or type(broken).__name__,)
                     continue
                 h, w, n = p.samples.shape
                 yield (number, w, h, n, p.bits, p.compression, p.predictor, p.tiled, p.samples.tobytes(), None)

@@ -33,6 +33,52 @@ def test_packbits_example():
     assert unpackbits(b"\x80\x00\x41") == b"A"
 
 
+def test_lzw_example_of_the_specification():
+    codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]
+    bits = "".join(f"{c:09b}" for c in codes)
+    packed = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    assert list(lzw_decode(packed)) == [7, 7, 7, 8, 8, 7, 7, 6, 6]
+    assert lzw_encode(bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])) == packed
+
+
+def test_decoders_stop_at_what_a_block_needs():
+    bomb = zlib.compress(bytes(50_000_000), 9)
+    assert len(tiff.inflate(bomb, 100)) == 100
+    assert len(lzw_decode(lzw_encode(bytes(100_000)), 10)) < 5000
+    assert len(unpackbits(packbits(bytes(100_000)), 10)) <= 138
+
+
+def crafted(width, height, compression, count, rows=None):
+    tags = [(256, 4, [width]), (257, 4, [height]), (258, 3, [8]), (259, 3, [compression]), (273, 4, ["b0"]), (279, 4, [count])]
+    return build("<", tags + ([(278, 4, [rows])] if rows else []), [zlib.compress(bytes(4096))])
+
+
+def test_crafted_sizes_give_a_reason(spark):
+    sizes = [(2**31, 2**31), (300_000, 300_000), (2**32 - 1, 2**32 - 1), (0, 0), (4096, 1)]
+    files = [(k, crafted(w, h, c, n)) for k, (w, h) in enumerate(sizes) for c in (1, 5, 8, 32773) for n in (0, 20, 2**32 - 1)]
+    out = decode_tiff(spark.createDataFrame(files, "id int, data binary"), "id", "data").toPandas()
+    assert len(out) == len(files)
+    assert out[out.id < 3].error.notna().all()
+    good = out[(out.id == 4) & out.error.isna()]
+    assert len(good) and all(len(d) == 4096 for d in good.data)
+    small = decode_tiff(spark.createDataFrame([(1, crafted(64, 64, 8, 100))], "id int, data binary"), "id", "data", most_bytes=4000).collect()
+    assert small[0].error == "page of more than 4000 bytes" and small[0].page == 0
+
+
+def test_any_change_of_a_file_gives_rows(spark):
+    rng = random.Random(11)
+    pages = [np.arange(2000, dtype=np.uint8).reshape(20, 100) for _ in range(2)]
+    files = []
+    for k in range(400):
+        raw = bytearray(write_tiff(pages, rng.choice([1, 5, 8, 32773]), order=rng.choice("<>"), **rng.choice([{}, {"tile": (16, 16)}, {"predictor": 2}])))
+        for _ in range(rng.randrange(1, 6)):
+            raw[rng.choice([rng.randrange(len(raw)), len(raw) - 1 - rng.randrange(140)])] = rng.choice([0, 1, 255, rng.randrange(256)])
+        files.append((k, bytes(raw[: rng.choice([len(raw), rng.randrange(len(raw))])])))
+    out = decode_tiff(spark.createDataFrame(files, "id int, data binary"), "id", "data").toPandas()
+    assert set(out.id) == set(range(400))
+    assert (out.error.notna() | out.data.notna()).all()
+
+
 @pytest.mark.parametrize("order", "<>")
 @pytest.mark.parametrize("compression", [tiff.STORED, tiff.LZW, tiff.PACKBITS, tiff.ADOBE_DEFLATE, tiff.DEFLATE])
 @pytest.mark.parametrize("layout", [{}, {"strip_rows": 3}, {"tile": (16, 16)}, {"tile": (32, 16), "predictor": 2}, {"predictor": 2}])
