@@ -2,11 +2,11 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from folioquery.llm.fingerprints import MASK, N_SUMS, add, as_text, edited_text, fingerprint, likeness, subtract, with_next
+from folioquery.llm.fingerprints import MASK, N_SUMS, N_WORDS, add, as_text, edited_text, fingerprint, id_ranges, likeness, subtract, with_next
 
 
 def value(spark, text):
-    return spark.createDataFrame([(text,)], "t string").select(fingerprint(F.col("t")).alias("f")).first().f
+    return spark.createDataFrame([(text,)], "t string").select(fingerprint("t").alias("f")).first().f
 
 
 def test_sums_are_those_of_the_paragraphs(spark):
@@ -21,7 +21,7 @@ def test_sums_are_those_of_the_paragraphs(spark):
 
 def test_insertion_and_deletion(spark):
     df = spark.createDataFrame([("a\nb", "c. d", "a\nb\nc. d")], "x string, y string, z string")
-    r = df.select(*[fingerprint(F.col(c)).alias(c) for c in "xyz"]).select(
+    r = df.select(*[fingerprint(c).alias(c) for c in "xyz"]).select(
         (add(F.col("x"), F.col("y")) == F.col("z")).alias("added"), (subtract(F.col("z"), F.col("y")) == F.col("x")).alias("taken")
     )
     assert r.first() == (True, True)
@@ -31,10 +31,32 @@ def test_likeness(spark):
     left = "\n".join(f"sentence number {i}." for i in range(200))
     right = "\n".join(f"sentence number {i}." for i in range(100, 300))
     other = "\n".join(f"another text {i}." for i in range(200))
-    df = spark.createDataFrame([(left, right, other)], "l string, r string, o string").select(*[fingerprint(F.col(c)).alias(c) for c in "lro"])
+    df = spark.createDataFrame([(left, right, other)], "l string, r string, o string").select(*[fingerprint(c).alias(c) for c in "lro"])
     same, half, none = df.select(likeness(F.col("l"), F.col("l")), likeness(F.col("l"), F.col("r")), likeness(F.col("l"), F.col("o"))).first()
     assert same == 1.0 and 0.2 < half < 0.8 and none < 0.4
-    assert df.select(F.length(as_text(F.col("l")))).first()[0] == 15 * 45
+    assert df.select(F.length(as_text(F.col("l")))).first()[0] == 16 * N_WORDS
+
+
+def test_counts_of_a_million_sentences_stay_apart(spark):
+    n = (1 << 20) + 5
+    df = spark.createDataFrame([("a\n" * (n - 1) + "a", "a\n" * (n - 1) + "b", "b\n" * (n - 1) + "b")], "l string, r string, o string").select(*[fingerprint(c).alias(c) for c in "lro"])
+    bits = int(hashlib.md5(b"a").hexdigest()[:15], 16)
+    words = df.select("l").first().l
+    for j in range(29):
+        assert words[N_SUMS + 1 + j] == n * (bits >> j & 1) + (n * (bits >> (j + 31) & 1) << 31)
+    near, far = df.select(likeness(F.col("l"), F.col("r")), likeness(F.col("l"), F.col("o"))).first()
+    assert 0.9999 < near < 1 and far < 0.5
+
+
+def test_ranges_are_even_for_ids_in_clusters(spark):
+    ids = [-(2**63), 2**63 - 1, 10**15] + list(range(3000)) + [10**12 + 1000 * i for i in range(3000)] + [7] * 40
+    df = spark.createDataFrame([(i,) for i in ids] + [(None,)], "doc_id long")
+    got = df.select("doc_id", id_ranges(df, block=16).alias("r")).collect()
+    assert [r.r for r in got if r.doc_id is None] == [-1]
+    order = [r.r for r in sorted((r for r in got if r.doc_id is not None), key=lambda r: r.doc_id)]
+    assert order == sorted(order) and order[0] >= 0
+    sizes = {x: order.count(x) for x in set(order)}
+    assert max(sizes.values()) <= 16 + 40 + 16 and len(sizes) > len(ids) / 40
 
 
 def test_next_document(spark):
