@@ -9,7 +9,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Multiplier of the polynomial hash of a word's bytes (odd, so that it has an inverse modulo 2**64).
 HASH_BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -38,6 +39,47 @@ def durable(df: DataFrame) -> DataFrame:
     return out
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores in front of those that a column has already (in whatever case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(columns: list[str]) -> list[Column]:
+    """Columns by their exact names, dots and all."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def numbered(df: DataFrame, key: str, ordinal: str) -> DataFrame:
+    """The rows with a new column ``ordinal``: 1 to n among the n rows of one key.
+
+    Only keys that repeat are numbered, in two levels: within the part of a
+    table that a task reads, and by sums over these parts. So a key that a third
+    of all rows share is spread over as many tasks as read it. Which of the rows
+    gets which number is left open.
+    """
+    repeats = durable(df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key))
+    n_repeats = repeats.count()
+    if not n_repeats:
+        return df.withColumn(ordinal, F.lit(1).cast("long"))
+    few = F.broadcast(repeats) if n_repeats <= 100_000 else repeats
+    (part,) = fresh([*df.columns, ordinal], "part")
+    again = durable(df.join(few, key, "left_semi").withColumn(part, F.spark_partition_id()))
+    before = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = again.groupBy(key, part).agg(F.count(F.lit(1)).alias(ordinal))
+    bases = counts.select(key, part, F.coalesce(F.sum(ordinal).over(before), F.lit(0)).alias(ordinal))
+    local = F.row_number().over(Window.partitionBy(key, part).orderBy(part))
+    (base,) = fresh([*df.columns, ordinal, part], "base")
+    numbers = again.withColumn(ordinal, local).join(bases.withColumnRenamed(ordinal, base), [key, part])
+    rest = df.join(few, key, "left_anti").withColumn(ordinal, F.lit(1).cast("long"))
+    return rest.unionByName(numbers.withColumn(ordinal, (F.col(ordinal) + F.col(base)).cast("long")).select(*quoted(rest.columns)))
+
+
 #: Rows of an Arrow batch between Spark and Python, at most: long texts keep a batch within some tens of MB.
 BATCH_ROWS = 2000
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioquery.llm.common import HASH_BASE, arrow_rows, durable, slices, splitmix, table
+from folioquery.llm.common import HASH_BASE, arrow_rows, durable, fresh, quoted, slices, splitmix, table
 
 #: Lines of fewer code points, without the white space around them, have no neighbours but equal lines.
 MIN_CHARS = 20
@@ -190,25 +190,27 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_equal: int | No
     ``_removed`` has the places of the removed lines, ``_kept_in`` the ids of the
     documents that hold an earlier one. All rows stay, a text all of whose lines
     went becomes empty; null and empty texts and blank lines stay as they are.
+    Both names get an underscore more where a column has them already.
     Lines under ``min_chars`` go only if an earlier one is equal and they have
     ``min_equal`` code points, by default ``min_chars``, so that they stay. Null ids come first; rows equal in id and text count as one and
     end alike; rows of one id go by a hash of the text. Columns besides doc_id
     and text are carried along, whatever their names but the two new ones.
     """
+    lost, kept_in, doc, row = fresh(docs.columns, "_removed", "_kept_in", "_id", "_row")
     gone = (
         repeated_lines(docs, min_chars, min_equal)
         .groupBy("doc_id", "row")
-        .agg(F.array_sort(F.collect_set("place")).alias("_removed"), F.array_sort(F.collect_set("kept_doc_id")).alias("_kept_in"))
+        .agg(F.array_sort(F.collect_set("place")).alias(lost), F.array_sort(F.collect_set("kept_doc_id")).alias(kept_in))
     )
-    gone = durable(gone.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "_removed", "_kept_in"))
+    gone = durable(gone.select(F.col("doc_id").alias(doc), F.col("row").alias(row), lost, kept_in))
     # a merge join at every size: what goes grows with the input
-    joined = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_row")), "left")
+    joined = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(row)), "left")
     split = F.split("text", "\n", -1)
-    rest = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_removed")), lambda k: F.get(split, k))
-    cleaned = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
+    rest = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(lost)), lambda k: F.get(split, k))
+    cleaned = F.when(F.col(lost).isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    none = {"_removed": F.expr("cast(array() as array<int>)"), "_kept_in": F.expr(f"cast(array() as array<{kind}>)")}
-    return joined.withColumn("text", cleaned).withColumns({k: F.coalesce(k, v) for k, v in none.items()}).select(*docs.columns, *none)
+    none = {lost: F.expr("cast(array() as array<int>)"), kept_in: F.expr(f"cast(array() as array<{kind}>)")}
+    return joined.withColumn("text", cleaned).withColumns({k: F.coalesce(k, v) for k, v in none.items()}).select(*quoted(docs.columns), *none)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

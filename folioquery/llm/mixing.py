@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioquery.llm.common import durable, table
+from folioquery.llm.common import durable, fresh, numbered, quoted, table
 
 #: A word of the size: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,10 +21,16 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def draw(key: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) that depends on the key and the seed alone; null keys share one."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))))
-    return F.conv(F.substring(digest, 1, _DIGITS), 16, 10).cast("double") / F.lit(float(16**_DIGITS))
+def digest(seed: str = SEED) -> Column:
+    """What a document's draws depend on: the seed, its id, source and text; nulls count as empty."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "source", "text")]
+    return F.md5(F.concat_ws("\x1f", F.lit(seed), *parts))
+
+
+def draw(key: Column, ordinal: Column) -> Column:
+    """A number in [0, 1) for the ordinal-th row of one digest."""
+    hexadecimal = F.md5(F.concat(key, F.lit(":"), ordinal.cast("string")))
+    return F.conv(F.substring(hexadecimal, 1, _DIGITS), 16, 10).cast("double") / F.lit(float(16**_DIGITS))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_times: int = MOST_TIMES) -> DataFrame:
@@ -61,54 +67,60 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_ti
     )
 
 
-def copies_of(rate: Column, key: Column, seed: str = SEED) -> Column:
+def copies_of(rate: Column, key: Column, ordinal: Column) -> Column:
     """floor(rate), and one more with the fraction's probability."""
     whole = F.floor(rate)
-    return F.coalesce(whole + F.when(draw(key, seed) < rate - whole, 1).otherwise(0), F.lit(0)).cast("long")
+    return F.coalesce(whole + F.when(draw(key, ordinal) < rate - whole, 1).otherwise(0), F.lit(0)).cast("long")
 
 
-def mixing_plan(measured: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, most_times: int = MOST_TIMES) -> DataFrame:
-    """(doc_id, source, size) with source_size, target, copies and taken: one row per row.
+def mixing_plan(measured: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_times: int = MOST_TIMES) -> DataFrame:
+    """A table (doc_id, source, size, digest, ordinal) with source_size, target, copies and taken: one row per row.
 
     Sizes are summed per source before any shuffle, so a source with most of the
     rows costs no more than another; the join is with one row per source, which
     Spark broadcasts only if its measured size allows, and otherwise splits a hot
-    source. Null sources form one source. Repeated ids share a draw. An empty
-    table gives no rows; a source without words has target 0 and no copies.
+    source. Null sources form one source. An empty table gives no rows; a source
+    without words has target 0 and no copies.
     """
     totals = measured.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(totals, weights, most_times).withColumnRenamed("source", "_source")
     joined = measured.join(targets, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     rate = F.col("target") / F.nullif(F.col("source_size"), F.lit(0))
-    return joined.withColumn("copies", copies_of(rate, F.col("doc_id"), seed)).withColumn("taken", F.col("size") * F.col("copies"))
+    return joined.withColumn("copies", copies_of(rate, F.col("digest"), F.col("ordinal"))).withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def mix(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, most_times: int = MOST_TIMES) -> DataFrame:
     """The documents, each as many times as the plan takes it; the columns stay as they are.
 
     Whole texts are counted and copied; null texts have size 0 and follow their
-    source's rate. Columns besides doc_id, text and source are carried along,
-    whatever their names.
+    source's rate. Rows that are equal in id, source and text, null ids too, have
+    a draw each; which of them has which is left open. Columns besides doc_id,
+    text and source are carried along, whatever their names. An empty table
+    gives no rows.
     """
     sizes = docs.select(F.col("source").alias("source"), word_count(F.col("text")).alias("size"))
     targets = source_targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most_times)
-    rates = targets.select(F.col("source").alias("_source"), (F.col("target") / F.nullif(F.col("source_size"), F.lit(0))).alias("_rate"))
-    planned = docs.alias("d").join(rates, F.col("d.source").eqNullSafe(F.col("_source")), "left")
-    copies = F.sequence(F.lit(1).cast("long"), copies_of(F.col("_rate"), F.col("d.doc_id"), seed))
-    taken = planned.where(copies_of(F.col("_rate"), F.col("d.doc_id"), seed) > 0)
-    return taken.withColumn("_copy", F.explode(copies)).select("d.*")
+    source, rate, key, ordinal, copy = fresh(docs.columns, "rate_source", "rate", "digest", "ordinal", "copy")
+    rates = targets.select(F.col("source").alias(source), (F.col("target") / F.nullif(F.col("source_size"), F.lit(0))).alias(rate))
+    rows = numbered(docs.withColumn(key, digest(seed)), key, ordinal)
+    planned = rows.join(rates, F.col("source").eqNullSafe(F.col(source)), "left")
+    copies = copies_of(F.col(rate), F.col(key), F.col(ordinal))
+    taken = planned.where(copies > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    return taken.select(*quoted(docs.columns))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     docs = table(spark, sf_dir, "documents")
-    measured = durable(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    return mixing_plan(measured).select("doc_id", "size", "source_size", "target", "taken")
+    measured = durable(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), digest().alias("digest")))
+    return mixing_plan(numbered(measured, "digest", "ordinal")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 TARGETS_SQL = """
 measured AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM {docs}
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+         md5('mix' || chr(31) || coalesce(doc_id::VARCHAR, '') || chr(31) || coalesce(source, '') || chr(31) || coalesce(text, '')) AS digest
+  FROM {docs}
 ),
 totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM measured GROUP BY source),
 weighted AS (
@@ -134,8 +146,8 @@ targets AS (
 drawn AS (
   SELECT m.doc_id, m.source, m.size, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size::DOUBLE END AS rate,
-         ('0x' || substr(md5('mix:' || coalesce(m.doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
-  FROM measured m JOIN targets t ON m.source IS NOT DISTINCT FROM t.source
+         ('0x' || substr(md5(m.digest || ':' || m.ordinal), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
+  FROM (SELECT *, row_number() OVER (PARTITION BY digest) AS ordinal FROM measured) m JOIN targets t ON m.source IS NOT DISTINCT FROM t.source
 )
 """
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioquery.llm.common import HASH_BASE, arrow_rows, durable, release_memory, shingle_hashes, slices, splitmix, table, word_hashes
+from folioquery.llm.common import HASH_BASE, arrow_rows, durable, fresh, release_memory, shingle_hashes, slices, splitmix, table, word_hashes
 from folioquery.llm.components import components, small
 
 WIDTH = 5
@@ -313,28 +313,31 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each near-duplicate class: the one with the least doc_id, of several such the one with the least hash of its text.
 
-    Rows that are equal in id and text are one. The columns stay as they are.
+    Rows that are equal in id and text are one. Null texts count as empty, null
+    ids come last, an empty table gives no rows. The columns stay as they are,
+    whatever the names of further ones.
     """
+    doc, hashed = fresh(docs.columns, "_id", "_node")
     classes = near_classes(docs, similarity).where("class_size > 1")
     classes = durable(classes)
     keepers = classes.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("node"))).alias("k"))
     keepers = keepers.select(F.col("class_id").alias("kept"), F.col("k.doc_id").alias("kept_doc"), F.col("k.node").alias("kept_node"))
     of = classes.select("doc_id", "node", "class_id").distinct().join(keepers, F.col("class_id").eqNullSafe(F.col("kept")))
     dropped = of.where(~(F.col("doc_id").eqNullSafe(F.col("kept_doc")) & (F.col("node") == F.col("kept_node"))))
-    dropped = durable(dropped.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")))
+    dropped = durable(dropped.select(F.col("doc_id").alias(doc), F.col("node").alias(hashed)))
     text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
     def same() -> Column:
-        return F.col("doc_id").eqNullSafe(F.col("_id")) & (text_hash == F.col("_node"))
+        return F.col("doc_id").eqNullSafe(F.col(doc)) & (text_hash == F.col(hashed))
 
     kept = docs.join(small(dropped, dropped.count()), same(), "left_anti")
-    again = durable(classes.groupBy(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).count().where("count > 1").drop("count"))
+    again = durable(classes.groupBy(F.col("doc_id").alias(doc), F.col("node").alias(hashed)).count().where("count > 1").drop("count"))
     n_again = again.count()
     if not n_again:
         return kept
     once = kept.join(small(again, n_again), same(), "left_anti")
-    repeated = kept.join(small(again, n_again), same(), "left_semi").withColumn("_node", text_hash)
-    return once.unionByName(repeated.dropDuplicates(["doc_id", "_node"]).drop("_node"))
+    repeated = kept.join(small(again, n_again), same(), "left_semi").withColumn(hashed, text_hash)
+    return once.unionByName(repeated.dropDuplicates(["doc_id", hashed]).drop(hashed))
 
 
 def op3_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

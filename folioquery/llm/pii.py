@@ -16,13 +16,15 @@ digit or an at sign; nothing is exploded or shuffled.
 from __future__ import annotations
 
 import calendar
+import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioquery.llm.common import table
+from folioquery.llm.common import fresh, table
 
-KEY = "change-me"
+#: Key of the registered query alone, so that its results can be compared; the operator requires one of its own.
+QUERY_KEY = "folioquery-example-key"
 ROUNDS = 8
 #: Days from 1900-01-01 to 2099-12-31; 17 * 4297.
 FIRST_DAY, DAY_RADICES = "1900-01-01", (17, 4297)
@@ -46,6 +48,14 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 KINDS = tuple(PATTERNS)
 
 
+def hmac(key: str, message: Column) -> Column:
+    """Hexadecimal HMAC-SHA-256 (RFC 2104) of a message."""
+    raw = key.encode()
+    block = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    inner, outer = (F.lit(bytearray(b ^ pad for b in block)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(message, "UTF-8")), 256))), 256)
+
+
 def feistel(symbols: Column, radices: Column, key: str, kind: str, rounds: int = ROUNDS) -> Column:
     """A keyed permutation of symbol sequences: symbol i stays below radix i. ``rounds`` must be even."""
     n = F.size(symbols)
@@ -61,7 +71,7 @@ def feistel(symbols: Column, radices: Column, key: str, kind: str, rounds: int =
         other = F.array_join(F.transform(s["r"], lambda x: x.cast("string")), ",")
 
         def shifted(x: Column, i: Column) -> Column:
-            digest = F.md5(F.concat_ws("|", F.lit(key), F.lit(kind), turn.cast("string"), i.cast("string"), other))
+            digest = hmac(key, F.concat_ws("|", F.lit(kind), turn.cast("string"), i.cast("string"), other))
             return F.pmod(x + F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), F.element_at(s["lx"], i + 1))
 
         return F.struct(s["r"].alias("l"), F.transform(s["l"], shifted).alias("r"), s["rx"].alias("lx"), s["lx"].alias("rx"))
@@ -182,7 +192,7 @@ def _phone(match: Column, key: str) -> Column:
 _MAKERS = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
 
 
-def found(text: Column, key: str = KEY) -> Column:
+def found(text: Column, key: str) -> Column:
     """Array of (kind, value, pseudonym) of a text's values in order; those that fail validation have a null kind and keep their value."""
 
     def one(match: Column) -> Column:
@@ -205,16 +215,18 @@ def replaced(text: Column, values: Column) -> Column:
     return F.when(F.size(values) > 0, F.array_join(joined, "")).otherwise(text)
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", values_col: str = "_pii") -> DataFrame:
     """The rows with their personal data replaced, in the text column alone, and an array of what was replaced.
 
-    The last column, ``_pii``, is new and holds (kind, value, pseudonym). Null
-    and empty texts stay as they are, with an empty array. Whole texts are
-    searched. Other columns, of whatever names but that one, are carried along.
+    The last column holds (kind, value, pseudonym); its name gets an underscore
+    more where a column has it already. Null and empty texts stay as they are,
+    with an empty array. Whole texts are searched. Other columns, of whatever
+    names, are carried along; rows may repeat.
     """
+    (values_col,) = fresh(docs.columns, values_col)
     text = F.col(text_col)
-    with_values = docs.withColumn("_pii", F.coalesce(found(text, key), F.expr("cast(array() as array<struct<kind:string,value:string,pseudonym:string>>)")))
-    return with_values.withColumn(text_col, replaced(text, F.col("_pii")))
+    with_values = docs.withColumn(values_col, F.coalesce(found(text, key), F.expr("cast(array() as array<struct<kind:string,value:string,pseudonym:string>>)")))
+    return with_values.withColumn(text_col, replaced(text, F.col(values_col)))
 
 
 def _count(kinds: Column, kind: str) -> Column:
@@ -223,7 +235,7 @@ def _count(kinds: Column, kind: str) -> Column:
 
 def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with personal data replaced, and how many values of each kind."""
-    out = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), QUERY_KEY)
     kinds = F.transform("_pii", lambda v: F.coalesce(v["kind"], F.lit("")))
     counts = [_count(kinds, k).alias(f"n_{k}") for k in KINDS]
     return out.select("doc_id", *counts, "text")

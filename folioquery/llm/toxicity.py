@@ -6,6 +6,10 @@ R_P(-)) is estimated without any document confirmed to be clean: what toxic
 documents in U add to R_U(-) is taken off again, and where that correction goes
 below zero, which only overfitting can bring about, the step turns around.
 
+P are documents that the labels call toxic. U are documents of the labels too,
+drawn whatever their label, which isn't read: so U has the class prior of the
+labels, and all rows that the classifier is fitted on are labelled ones.
+
 Features are words and their first four to six bytes, so that a stem counts in
 whatever ending it comes, each present at least once, twice or four times. They
 are picked on the sample by how much more often they occur in P than in U.
@@ -23,9 +27,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioquery.llm.common import arrow_rows, prefix_hashes, range_hashes, release_memory, slices, table, utf8_bytes
+from folioquery.llm.common import arrow_rows, durable, fresh, prefix_hashes, range_hashes, release_memory, slices, table, utf8_bytes
 
-#: Documents of the sample that the classifier is fitted on, at most about so many.
+#: Labelled documents of the samples that the classifier is fitted on, at most about so many.
 MOST_POSITIVE, MOST_UNLABELLED = 3000, 6000
 MOST_FEATURES = 4096
 PREFIXES = (4, 5, 6)
@@ -98,56 +102,66 @@ class Model:
             place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
             hit = self.keys[place] == keys
             margin += np.bincount(rows[hit], weights=self.weights[place[hit]], minlength=len(column))
-        return 1.0 / (1.0 + np.exp(-np.clip(margin, -30, 30)))
+        return sigmoid(margin)
 
 
-def _select(positive: list[np.ndarray], unlabelled: list[np.ndarray], most: int) -> np.ndarray:
-    """Features that stand out in P: those whose shares differ beyond chance and by a factor."""
-    keys, count = np.unique(np.concatenate(positive), return_counts=True)
-    keys, count = keys[count >= LEAST_COUNT], count[count >= LEAST_COUNT]
-    in_u = np.concatenate(unlabelled) if unlabelled else np.zeros(0, np.uint32)
-    place = np.minimum(np.searchsorted(keys, in_u), max(0, len(keys) - 1))
-    count_u = np.bincount(place[keys[place] == in_u], minlength=len(keys)) if len(keys) else np.zeros(0)
-    p, u = np.minimum(count / len(positive), 1 - 1e-9), (count_u + 1) / (len(unlabelled) + 2)
-    g = 2 * len(positive) * (p * np.log(p / u) + (1 - p) * np.log((1 - p) / (1 - u)))
-    best = np.argsort(-g, kind="stable")[:most]
-    return np.sort(keys[best[(g[best] >= LEAST_G) & (p[best] >= LEAST_LIFT * u[best])]])
+def selected(counts: DataFrame, n_p: int, n_u: int, most: int = MOST_FEATURES) -> np.ndarray:
+    """Sorted features that stand out in P, from their documents (key, p, u) in P and U: those whose shares differ beyond chance and by a factor."""
+    p, u = F.least(F.col("p") / n_p, F.lit(1 - 1e-9)), (F.col("u") + 1) / (n_u + 2)
+    g = 2.0 * n_p * (F.col("sp") * F.ln(F.col("sp") / F.col("su")) + (1 - F.col("sp")) * F.ln((1 - F.col("sp")) / (1 - F.col("su"))))
+    shares = counts.where(F.col("p") >= LEAST_COUNT).select("key", p.alias("sp"), u.alias("su")).withColumn("g", g)
+    best = shares.where((F.col("g") >= LEAST_G) & (F.col("sp") >= LEAST_LIFT * F.col("su"))).orderBy(F.desc("g"), "key").limit(most)
+    return np.sort(best.select("key").toArrow().column(0).to_numpy().astype(np.uint32))
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most_features: int = MOST_FEATURES) -> Model:
-    """Train on the features with levels of each document of P and U with the class prior."""
-    if not positive or not unlabelled:
-        return Model()
-    keys = _select(positive, unlabelled, most_features)
-    prior = min(max(prior, 1e-4), 0.9)
-    def rows_of(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        flat = np.concatenate(documents)
-        at = np.repeat(np.arange(len(documents)), [len(d) for d in documents])
-        place = np.minimum(np.searchsorted(keys, flat), max(0, len(keys) - 1))
-        hit = keys[place] == flat if len(keys) else np.zeros(len(flat), bool)
-        return at[hit], place[hit]
-
-    (p_row, p_key), (u_row, u_key) = rows_of(positive), rows_of(unlabelled)
-    n_p, n_u, k = len(positive), len(unlabelled), len(keys)
-    # U holds prior * P and more: no set of documents is rarer in U than prior times its share of P
-    if len(p_row):
-        prior = min(prior, (len(np.unique(u_row)) + 1) / n_u / (len(np.unique(p_row)) / n_p))
-    weights, moments, squares = np.zeros(k + 1), np.zeros(k + 1), np.zeros(k + 1)
-    weights[k] = np.log(prior / (1 - prior))
+@dataclass
+class Sample:
+    """Which of the features each document has: pairs (document, feature) of P and of U, and the numbers of documents and features."""
+
+    p_row: np.ndarray
+    p_key: np.ndarray
+    u_row: np.ndarray
+    u_key: np.ndarray
+    n_p: int
+    n_u: int
+    n_keys: int
+
 
-    def sigmoid(x: np.ndarray) -> np.ndarray:
-        return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
+
+
+def risk(weights: np.ndarray, sample: Sample, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Risk of toxic documents and the corrected risk of clean ones, with their gradients; the last weight is the bias.
+
+    The loss is logistic. The first is prior * R_P(+), the second R_U(-) - prior * R_P(-).
+    """
+    k = sample.n_keys
+    z_p = weights[k] + np.bincount(sample.p_row, weights=weights[sample.p_key], minlength=sample.n_p)
+    z_u = weights[k] + np.bincount(sample.u_row, weights=weights[sample.u_key], minlength=sample.n_u)
+    s_p, s_u = sigmoid(z_p), sigmoid(z_u)
 
     def gradient(pull: np.ndarray, row: np.ndarray, key: np.ndarray) -> np.ndarray:
         return np.append(np.bincount(key, weights=pull[row], minlength=k), pull.sum())
 
+    toxic = prior * float(np.logaddexp(0, -z_p).mean())
+    clean = float(np.logaddexp(0, z_u).mean()) - prior * float(np.logaddexp(0, z_p).mean())
+    of_toxic = prior * gradient((s_p - 1) / sample.n_p, sample.p_row, sample.p_key)
+    of_clean = gradient(s_u / sample.n_u, sample.u_row, sample.u_key) - prior * gradient(s_p / sample.n_p, sample.p_row, sample.p_key)
+    return toxic, clean, of_toxic, of_clean
+
+
+def fit(keys: np.ndarray, sample: Sample, prior: float) -> Model:
+    """Train with the class prior; where the corrected risk is below zero, the step goes back up its gradient."""
+    prior, k = min(max(prior, 1e-4), 0.9), sample.n_keys
+    # U holds prior * P and more: no set of documents is rarer in U than prior times its share of P
+    if len(sample.p_row):
+        prior = min(prior, (len(np.unique(sample.u_row)) + 1) / sample.n_u / (len(np.unique(sample.p_row)) / sample.n_p))
+    weights, moments, squares = np.zeros(k + 1), np.zeros(k + 1), np.zeros(k + 1)
+    weights[k] = np.log(prior / (1 - prior))
     for step in range(1, STEPS + 1):
-        z_p = weights[k] + np.bincount(p_row, weights=weights[p_key], minlength=n_p)
-        z_u = weights[k] + np.bincount(u_row, weights=weights[u_key], minlength=n_u)
-        s_p, s_u = sigmoid(z_p), sigmoid(z_u)
-        negative_risk = np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean()
-        rest = gradient(s_u / n_u, u_row, u_key) - prior * gradient(s_p / n_p, p_row, p_key)
-        g = prior * gradient((s_p - 1) / n_p, p_row, p_key) + rest if negative_risk >= 0 else -rest
+        _, clean, of_toxic, of_clean = risk(weights, sample, prior)
+        g = of_toxic + of_clean if clean >= 0 else -of_clean
         g[:k] += DECAY * prior * weights[:k]
         moments = 0.9 * moments + 0.1 * g
         squares = 0.999 * squares + 0.001 * g * g
@@ -155,8 +169,8 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return Model(keys, weights[:k].copy(), float(weights[k]))
 
 
-def _unique_features(docs: DataFrame) -> list[tuple[bool, np.ndarray]]:
-    """(positive, features with levels) of each document of a bounded sample."""
+def _with_features(docs: DataFrame) -> DataFrame:
+    """(positive, hashes) of each document of a sample: its features with levels, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -166,25 +180,61 @@ def _unique_features(docs: DataFrame) -> list[tuple[bool, np.ndarray]]:
             packed = [raw[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["positive", "hashes"])
 
-    rows = arrow_rows(docs).mapInArrow(run, "positive boolean, hashes binary").toArrow()
-    out = []
-    for batch in rows.to_batches():  # views of Arrow's buffers, not a Python object for each document
-        offsets = np.frombuffer(batch.column(1).buffers()[1], np.int32)[batch.column(1).offset :][: batch.num_rows + 1]
-        values = np.frombuffer(batch.column(1).buffers()[2] or b"", np.uint8)
-        marks = batch.column(0).to_pylist()
-        out += [(marks[k], values[offsets[k] : offsets[k + 1]].view("<u4")) for k in range(batch.num_rows)]
-    return out
+    return arrow_rows(docs).mapInArrow(run, "positive boolean, hashes binary")
+
+
+def _counted(sample: DataFrame) -> DataFrame:
+    """(key, p, u): documents of P and of U with each feature; summed by batch before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            marks = np.array(batch.column(0).to_pylist(), bool)
+            found = [np.frombuffer(x, "<u4") for x in batch.column(1).to_pylist()]
+            both, n = np.unique(np.concatenate([f.astype(np.int64) * 2 + m for f, m in zip(found, marks, strict=True)]), return_counts=True)
+            positive = (both & 1).astype(bool)
+            yield pa.RecordBatch.from_arrays([pa.array(both >> 1), pa.array(np.where(positive, n, 0)), pa.array(np.where(positive, 0, n))], names=["key", "p", "u"])
+
+    return arrow_rows(sample).mapInArrow(run, "key long, p long, u long").groupBy("key").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+
+
+def _placed(sample: DataFrame, keys: np.ndarray) -> Sample:
+    """The selected features of each sampled document, on the driver: at most len(keys) small numbers a document, however long its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            packed = []
+            for x in batch.column(1).to_pylist():
+                found = np.frombuffer(x, "<u4")
+                place = np.minimum(np.searchsorted(keys, found), max(0, len(keys) - 1))
+                packed.append(place[keys[place] == found].astype("<u2").tobytes() if len(keys) else b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["positive", "places"])
+
+    rows = arrow_rows(sample).mapInArrow(run, "positive boolean, places binary").toArrow()
+    marks, places = rows.column(0).to_pylist(), [np.frombuffer(x, "<u2") for x in rows.column(1).to_pylist()]
+    del rows
+
+    def of(mark: bool) -> tuple[np.ndarray, np.ndarray, int]:
+        mine = [p for p, m in zip(places, marks, strict=True) if m is mark]
+        flat = np.concatenate(mine) if mine else np.zeros(0, "<u2")
+        return np.repeat(np.arange(len(mine)), [len(p) for p in mine]), flat.astype(np.int64), len(mine)
+
+    (p_row, p_key, n_p), (u_row, u_key, n_u) = of(True), of(False)
+    return Sample(p_row, p_key, u_row, u_key, n_p, n_u, len(keys))
 
 
 def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, prior: float | None = None) -> Model:
-    """Fit on a sample of the documents that aren't held out, of about ``most_positive`` and ``most_unlabelled`` rows.
+    """Fit on a sample of the labelled documents that aren't held out: about ``most_positive`` toxic ones, and ``most_unlabelled`` whatever their label.
 
     Both samples are drawn by a hash of the id, so they don't depend on the
     order of rows. The prior is the share of toxic rows among the labels that
-    may be read, unless it is given. Without confirmed examples nothing is toxic.
-    The ids of the positive sample are the only thing broadcast.
+    may be read, unless it is given. Null labels and ids aren't read, several
+    labels of one id count as their largest. Without confirmed examples nothing
+    is toxic. The sample's ids are the only thing broadcast, and what reaches the
+    driver are its documents' places in the list of features.
     """
-    readable = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    if most_positive + most_unlabelled > 1 << 20:
+        raise ValueError("the sample is fitted on the driver: at most 2**20 documents")
+    readable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = readable.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("p")).first()
     if not counts["p"]:
         return Model()
@@ -192,16 +242,18 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
     def drawn(share: float) -> Column:
         return F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))
 
-    positive = readable.where((F.col("toxic") == 1) & drawn(min(1.0, most_positive / counts["p"]))).select("doc_id", F.lit(True).alias("positive"))
-    open_docs = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("text").cast("string").alias("text"))
-    marked = open_docs.join(F.broadcast(positive), "doc_id", "left")
-    unlabelled = drawn(min(1.0, most_unlabelled / max(1, open_docs.select("doc_id").count())))
+    positive = (F.col("toxic") == 1) & drawn(min(1.0, most_positive / counts["p"]))
+    unlabelled = drawn(min(1.0, most_unlabelled / counts["n"]))
     # a document drawn for both samples gives a row to each
-    each = F.when(F.col("positive") & unlabelled, F.array(F.lit(True), F.lit(False))).when(F.col("positive"), F.array(F.lit(True))).when(unlabelled, F.array(F.lit(False)))
-    sample = _unique_features(marked.withColumn("row", F.explode(each)).select(F.col("row").alias("positive"), "text"))
-    share = prior if prior is not None else counts["p"] / counts["n"]
-    model = fit([h for p, h in sample if p], [h for p, h in sample if not p], share)
-    del sample
+    roles = F.filter(F.array(F.when(positive, F.lit(True)), F.when(unlabelled, F.lit(False))), lambda x: x.isNotNull())
+    picked = readable.select("doc_id", roles.alias("roles")).where(F.size("roles") > 0)
+    open_docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    sample = durable(_with_features(open_docs.join(F.broadcast(picked), "doc_id").select(F.explode("roles").alias("positive"), "text")))
+    sizes = {r["positive"]: r["count"] for r in sample.groupBy("positive").count().collect()}
+    if len(sizes) < 2:
+        return Model()
+    keys = selected(_counted(sample), sizes[True], sizes[False])
+    model = fit(keys, _placed(sample, keys), prior if prior is not None else counts["p"] / counts["n"])
     release_memory()
     return model
 
@@ -224,7 +276,8 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text", score_col
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score below the threshold, with their columns as they are."""
     model = train(docs, labels)
-    return with_scores(docs, model, score_col="_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
+    (score,) = fresh(docs.columns, "_toxicity")
+    return with_scores(docs, model, score_col=score).where(F.col(score) < threshold).drop(score)
 
 
 def op2_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
 import datetime
-import hashlib
+import hmac
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from folioquery.llm.pii import KEY, ROUNDS, feistel, found, op8_feistel_pseudonyms, pseudonymise
+from folioquery.llm.pii import ROUNDS, feistel, found, op8_feistel_pseudonyms, pseudonymise
+
+KEY = "k" * 70  # longer than a block of the hash
 
 
 def brute_feistel(symbols, radices, kind, key=KEY):
@@ -13,13 +15,13 @@ def brute_feistel(symbols, radices, kind, key=KEY):
     left, right, lx, rx = symbols[:h], symbols[h:], radices[:h], radices[h:]
     for r in range(1, ROUNDS + 1):
         other = ",".join(map(str, right))
-        new = [(x + int(hashlib.md5(f"{key}|{kind}|{r}|{i}|{other}".encode()).hexdigest()[:12], 16)) % lx[i] for i, x in enumerate(left)]
+        new = [(x + int(hmac.new(key.encode(), f"{kind}|{r}|{i}|{other}".encode(), "sha256").hexdigest()[:12], 16)) % lx[i] for i, x in enumerate(left)]
         left, right, lx, rx = right, new, rx, lx
     return left + right
 
 
 def run(spark, text):
-    return spark.createDataFrame([(text,)], "t string").select(found(F.col("t")).alias("v")).first().v
+    return spark.createDataFrame([(text,)], "t string").select(found(F.col("t"), KEY).alias("v")).first().v
 
 
 def luhn(digits):
@@ -73,21 +75,28 @@ def test_dates_with_the_day_first_and_with_a_time(spark):
     assert [v.kind for v in run(spark, "29/02/2023 31/04/2024 25/13/2024 25/12/1899 29/02/1900 12/25/2024")] == [None] * 5 + ["date"]
     stamps = run(spark, "2024-05-01T10:00:00Z 2024-05-01 2024-05-01Tx 2024-05-01t1000")
     assert [(v.kind, v.value) for v in stamps] == [("date", "2024-05-01")] * 3 and len({v.pseudonym for v in stamps}) == 1
-    text = pseudonymise(spark.createDataFrame([("at 2024-05-01T10:00:00Z.",)], "text string")).first().text
+    text = pseudonymise(spark.createDataFrame([("at 2024-05-01T10:00:00Z.",)], "text string"), KEY).first().text
     assert text == f"at {stamps[0].pseudonym}T10:00:00Z."
 
 
 def test_rows_columns_and_links(spark):
     rows = [(1, "a@b.co 4918 1871 2863 5271", "c"), (1, "a@b.co 4918 1871 2863 5271", "c"), (None, None, None), (2, "", "x"), (3, "4918187128635271 " + "word " * 20000 + "a@b.co", "é")]
     df = spark.createDataFrame(rows, "doc_id long, text string, kind string")
-    out = pseudonymise(df).collect()
+    out = pseudonymise(df, KEY).collect()
     assert [(r.doc_id, r.kind) for r in out] == [(r[0], r[2]) for r in rows]
     assert out[0].text == out[1].text != rows[0][1] and out[2].text is None and out[3].text == "" and out[3]._pii == []
     assert re.sub(r"\D", "", out[0].text.split(" ", 1)[1]) == out[4].text.split(" ")[0]
     assert out[4].text.endswith(out[0].text.split(" ")[0]) and "word word" in out[4].text
-    assert pseudonymise(df.limit(0)).count() == 0
+    assert pseudonymise(df.limit(0), KEY).count() == 0
 
 
 def test_query_counts(spark):
     out = op8_feistel_pseudonyms(spark, "/root/testdata/sf0.001").toPandas()
     assert len(out) == 200 and out[["n_email", "n_ip", "n_card", "n_phone"]].sum().min() > 0
+
+
+def test_column_of_the_same_name(spark):
+    out = pseudonymise(spark.createDataFrame([("a@b.com", 1, 2)], "text string, _pii int, x int"), KEY)
+    assert out.columns == ["text", "_pii", "x", "__pii"]
+    r = out.first()
+    assert r._pii == 1 and r.text != "a@b.com" and r["__pii"][0].kind == "email"

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -6,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from folioquery.llm.toxicity import Model, features, fit, held_out, leveled, op2_nnpu_toxicity, reject_toxic, train, with_scores
+from folioquery.llm.toxicity import Model, Sample, features, fit, held_out, leveled, op2_nnpu_toxicity, reject_toxic, risk, selected, train, with_scores
 
 
 def corpus(n, seed=1):
@@ -57,7 +58,7 @@ def test_held_out_labels_are_not_read(tables):
 
 def test_reject_keeps_columns(tables):
     docs, labels, truth = tables
-    extra = docs.withColumn("score", F.lit("clash"))
+    extra = docs.withColumn("score", F.lit("clash")).withColumn("_toxicity", F.lit(1))
     kept = reject_toxic(extra, labels)
     assert kept.columns == extra.columns
     ids = {r.doc_id for r in kept.collect()}
@@ -77,12 +78,60 @@ def test_edge_cases(spark, tables):
         with_scores(rows.withColumn("score", F.lit(1)), Model())
 
 
-def test_risk_correction_with_flexible_model():
-    rng = np.random.default_rng(0)
-    positive = [np.unique(np.append(rng.integers(1000, 5000, 30), 4)).astype(np.uint32) for _ in range(30)]
-    unlabelled = [np.unique(np.append(rng.integers(1000, 5000, 30), [4] if k % 10 == 0 else [])).astype(np.uint32) for k in range(300)]
-    model = fit(positive, unlabelled, 0.1)
-    assert 4 in model.keys and np.isfinite(model.weights).all() and model.bias < -1
+def random_sample(rng, n_p=30, n_u=200, n_keys=40):
+    p = [np.unique(np.append(rng.integers(1, n_keys, 6), 0)) for _ in range(n_p)]
+    u = [np.unique(np.append(rng.integers(1, n_keys, 6), [0] if k % 10 == 0 else [])).astype(int) for k in range(n_u)]
+    row = lambda docs: np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    return p, u, Sample(row(p), np.concatenate(p), row(u), np.concatenate(u), n_p, n_u, n_keys)
+
+
+def test_risk_and_gradient_against_a_plain_loop():
+    rng = np.random.default_rng(4)
+    p, u, sample = random_sample(rng)
+    weights, prior = rng.normal(0, 0.7, 41), 0.13
+
+    def plain(w):
+        z = lambda d: w[40] + sum(w[k] for k in d)
+        loss = lambda x: math.log1p(math.exp(-x))
+        toxic = prior * sum(loss(z(d)) for d in p) / len(p)
+        clean = sum(loss(-z(d)) for d in u) / len(u) - prior * sum(loss(-z(d)) for d in p) / len(p)
+        return toxic, clean
+
+    toxic, clean, of_toxic, of_clean = risk(weights, sample, prior)
+    assert (toxic, clean) == pytest.approx(plain(weights), rel=1e-12)
+    for k in range(41):
+        up, down = weights.copy(), weights.copy()
+        up[k] += 1e-5
+        down[k] -= 1e-5
+        a, b = plain(up), plain(down)
+        assert of_toxic[k] == pytest.approx((a[0] - b[0]) / 2e-5, abs=1e-8)
+        assert of_clean[k] == pytest.approx((a[1] - b[1]) / 2e-5, abs=1e-8)
+
+
+def test_training_keeps_the_corrected_risk_from_falling_below_zero():
+    p, u, sample = random_sample(np.random.default_rng(0))
+    model = fit(np.arange(40, dtype=np.uint32), sample, 0.1)
+    _, clean, _, _ = risk(np.append(model.weights, model.bias), sample, 0.1)
+    assert clean > -0.01 and np.isfinite(model.weights).all() and model.bias < -1 and model.weights.argmax() == 0
+
+
+def test_selection_against_a_plain_loop(spark):
+    rng = random.Random(6)
+    counts = [(k, rng.randrange(40), rng.randrange(60)) for k in range(500)]
+    got = selected(spark.createDataFrame(counts, "key long, p long, u long"), 50, 400, 30).tolist()
+    scores = {}
+    for key, p, u in counts:
+        a, b = min(p / 50, 1 - 1e-9), (u + 1) / 402
+        if p >= 3 and a >= 2.5 * b and (g := 100 * (a * math.log(a / b) + (1 - a) * math.log((1 - a) / (1 - b)))) >= 24:
+            scores[key] = g
+    assert got == sorted(sorted(scores, key=lambda k: (-scores[k], k))[:30])
+
+
+def test_only_labelled_documents_are_sampled(tables):
+    docs, labels, _ = tables
+    known = labels.select("doc_id")
+    a, b = train(docs, labels), train(docs.join(known, "doc_id", "left_semi"), labels)
+    assert (a.keys == b.keys).all() and np.allclose(a.weights, b.weights)
 
 
 def test_query_columns(spark):
