@@ -64,12 +64,15 @@ def _fold() -> Column:
 
 
 def _grams() -> Column:
-    """Each character of host and path, and the end, with the ORDER characters before it."""
+    """Each character of host and path, and the end, with the ORDER characters before it; the characters are bound, so the text is split once."""
     text = F.regexp_replace(F.concat("host", "path"), "[^!-~]", "?")
-    chars = F.split(F.concat(F.lit(START * ORDER), text, F.lit(END)), "")
-    return F.transform(
-        F.sequence(F.lit(1), F.length(text) + 1), lambda i: F.concat(*[F.element_at(chars, i + k) for k in range(ORDER + 1)])
-    )
+    bound = F.array(F.split(F.concat(F.lit(START * ORDER), text, F.lit(END)), ""))
+
+    def of(chars: Column) -> Column:
+        places = F.sequence(F.lit(0), F.array_position(chars, END).cast("int") - 1 - ORDER)
+        return F.transform(places, lambda i: F.concat(*[F.get(chars, i + k) for k in range(ORDER + 1)]))
+
+    return F.transform(bound, of)[0]
 
 
 def language_model(judged: DataFrame, order: int = ORDER, prior: float = PRIOR) -> DataFrame:
@@ -80,12 +83,10 @@ def language_model(judged: DataFrame, order: int = ORDER, prior: float = PRIOR)
     two characters have at most ALPHABET**2 rows and are broadcast.
     """
     trains = _fold() > 0
+    # what is carried beside the grams is computed before: a URL isn't copied for each of its characters
+    marks = judged.select(_grams().alias("grams"), *[(trains & (F.col("ruling") == v)).cast("long").alias(k) for k, v in (("a", "allow"), ("b", "block"))])
     counted = (
-        judged.select(
-            F.explode(_grams()).alias("gram"),
-            (trains & (F.col("ruling") == "allow")).cast("long").alias("a"),
-            (trains & (F.col("ruling") == "block")).cast("long").alias("b"),
-        )
+        marks.select("a", "b", F.explode("grams").alias("gram"))
         .groupBy("gram")
         .agg(F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.coalesce(F.sum("b"), F.lit(0)).alias("b"))
     )
@@ -116,20 +117,22 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     lies between the two means of the labelled pages of fold 0, nearer to the
     class that varies less; without pages of both classes there it is 0. Pages
     keep their rows: ids may be null or repeat, null URLs have empty parts.
-    Whole URLs are scored.
+    Whole URLs are scored, however long: grams go by two hashes of the URL, which
+    stays in its row. An empty table gives no rows; further columns aren't read.
     """
-    judged = with_rules(pages, rules)
+    urls = {"u1": F.xxhash64("host", "path"), "u2": F.xxhash64(F.lit(7), "path", "host")}
+    judged = with_rules(pages, rules).withColumns(urls)
     model = language_model(judged)
     if model.count() <= BROADCAST_GRAMS:
         model = F.broadcast(model)
-    row = ["page_id", "host", "path", "rule", "ruling"]
-    sums = judged.withColumn("gram", F.explode(_grams())).join(model, "gram").groupBy(*row).agg(F.sum("llr").alias("total"), F.count(F.lit(1)).alias("n"))
-    scored = durable(sums.withColumn("mean", F.round(F.col("total") / F.col("n")).cast("long")))
-    repeats = (F.col("n") / (F.length(F.concat("host", "path")) + 1)).cast("long")
+    # copies of a URL add up to the same mean
+    grams = judged.select("u1", "u2", _grams().alias("grams")).select("u1", "u2", F.explode("grams").alias("gram")).join(model, "gram")
+    sums = grams.groupBy("u1", "u2").agg(F.sum("llr").alias("total"), F.count(F.lit(1)).alias("n"))
+    means = sums.select("u1", "u2", F.round(F.col("total") / F.col("n")).cast("long").alias("mean"))
+    scored = durable(judged.join(means, ["u1", "u2"]).drop("u1", "u2"))
     verdict = F.coalesce("ruling", F.when(F.col("mean") >= F.col("threshold"), F.lit("allow")).otherwise(F.lit("block")))
     return (
-        scored.crossJoin(F.broadcast(threshold(scored.where(_fold() == 0))))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), repeats)))
+        scored.crossJoin(F.broadcast(threshold(scored.where(_fold() == 0))))  # one row
         .select("page_id", "host", "path", "rule", verdict.alias("verdict"), (F.col("mean") - F.col("threshold")).alias("score"))
     )
 

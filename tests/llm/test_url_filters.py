@@ -74,3 +74,9 @@ def test_unruled_pages_follow_the_models(spark):
 def test_no_labels_and_empty(spark):
     assert judge(frame(spark, [])).count() == 0
     assert [r.verdict for r in judge(frame(spark, [(1, "http://a.b/c"), (1, "http://a.b/c" + "d" * 3000)])).collect()] == ["allow", "allow"]
+
+
+def test_long_urls_cost_no_more_than_their_length(spark):
+    rows = urls(100) + [(1, "http://long.example.org/" + "story-" * 150_000), (2, "http://long.example.org/" + "casino" * 50_000)]
+    got = {r.page_id: (r.verdict, len(r.path)) for r in judge(frame(spark, rows)).where("rule is null").collect()}
+    assert got == {1: ("allow", 900_001), 2: ("block", 300_001)}
