@@ -34,9 +34,11 @@ BANDS, ROWS = 12, 4
 COUNTERS = 1 << 18
 #: The idf runs from 1 for a shingle of all documents to 1 + STRENGTH for one of a share of at most FLOOR, on a logarithmic scale.
 STRENGTH, FLOOR = 0.25, 0.002
-#: Rows of random draws that shingles are hashed to.
-DRAWS = 1 << 16
+#: The gamma distribution is drawn from so many quantiles.
+QUANTILES = 1 << 16
 SEED = 20011
+#: Shingles whose draws are held at once.
+_ROWS_AT_ONCE = 256
 #: Texts of a block that is compared at once.
 BLOCK = 128
 _BIN = 0.02
@@ -91,44 +93,65 @@ def weighted(column: pa.Array, idf: np.ndarray, width: int = WIDTH) -> tuple[np.
     return row[at], shingles[at], (1.0 + np.log(tf)).astype(np.float32) * idf[_counter(shingles[at])]
 
 
-_TABLES: dict[int, tuple[np.ndarray, ...]] = {}
+_GAMMA: list[np.ndarray] = []
 
 
-def _draws(samples: int) -> tuple[np.ndarray, ...]:
-    """Random draws of the sampling: r, c ~ Gamma(2, 1), beta ~ U(0, 1); as 1/r, r, beta and ln c - r."""
-    if samples not in _TABLES:
-        rng = np.random.default_rng(SEED)
-        r = rng.gamma(2.0, 1.0, (DRAWS, samples)).astype(np.float32) + np.float32(1e-6)
-        c = rng.gamma(2.0, 1.0, (DRAWS, samples)).astype(np.float32) + np.float32(1e-9)
-        beta = rng.random((DRAWS, samples), dtype=np.float32)
-        _TABLES[samples] = (1 / r, r, beta, np.log(c) - r)
-    return _TABLES[samples]
+def _gamma() -> list[np.ndarray]:
+    """Quantiles of Gamma(2, 1), their inverses and logarithms; by bisection of its distribution 1 - (1 + x) exp(-x)."""
+    if not _GAMMA:
+        share = (np.arange(QUANTILES) + 0.5) / QUANTILES
+        low, high = np.zeros(QUANTILES), np.full(QUANTILES, 60.0)
+        for _ in range(60):
+            middle = (low + high) / 2
+            below = 1 - (1 + middle) * np.exp(-middle) < share
+            low, high = np.where(below, middle, low), np.where(below, high, middle)
+        _GAMMA.extend([high.astype(np.float32), (1 / high).astype(np.float32), np.log(high).astype(np.float32)])
+    return _GAMMA
 
 
 def weighted_samples(rows: np.ndarray, shingles: np.ndarray, weights: np.ndarray, n: int, samples: int) -> np.ndarray:
-    """Hashes of the consistent weighted samples, (n, samples); rows without shingles are zero."""
-    inverse, r, beta, rest = _draws(samples)
+    """Hashes of the consistent weighted samples, (n, samples); rows without shingles are zero.
+
+    The draws r, c ~ Gamma(2, 1) and beta ~ U(0, 1) of a shingle for a sample come
+    from the bits of a hash of both, so each shingle has its own. With t =
+    floor(ln w / r + beta) the sample is the shingle of the least ln c - r * (t -
+    beta + 1), together with its t.
+    """
+    r, inverse, log_c = _gamma()
+    seeds = splitmix((np.arange(1, samples + 1, dtype=np.uint64) + np.uint64(SEED)) * HASH_BASE)
     out = np.zeros((n, samples), np.uint64)
     bounds = np.searchsorted(rows, np.arange(n + 1))
-    log_w = np.log(weights)
-    draw = (shingles & np.uint64(DRAWS - 1)).astype(np.int64)
+    log_w, columns = np.log(weights).astype(np.float32), np.arange(samples)
     for k in range(n):
         best = None
-        for a in range(bounds[k], bounds[k + 1], 2048):
-            part = slice(a, min(a + 2048, bounds[k + 1]))
-            d = draw[part]
-            steps = np.floor(log_w[part, None] * inverse[d] + beta[d])
-            value = rest[d] - r[d] * (steps - beta[d])
+        for a in range(bounds[k], bounds[k + 1], _ROWS_AT_ONCE):
+            part = slice(a, min(a + _ROWS_AT_ONCE, bounds[k + 1]))
+            mine = shingles[part]
+            mixed = mine[:, None] ^ seeds
+            mixed *= np.uint64(0xBF58476D1CE4E5B9)
+            mixed ^= mixed >> np.uint64(32)
+            mixed *= np.uint64(0x94D049BB133111EB)
+            mixed ^= mixed >> np.uint64(29)
+            bits = mixed.view("<u2").reshape(len(mine), samples, 4)
+            for_r, for_c = bits[:, :, 3], bits[:, :, 2]
+            beta = mixed.view("<u4").reshape(len(mine), samples, 2)[:, :, 0].astype(np.float32) * np.float32(2**-32)
+            steps = inverse[for_r]
+            steps *= log_w[part, None]
+            steps += beta
+            np.floor(steps, out=steps)
+            value = steps - beta
+            value += np.float32(1)
+            value *= r[for_r]
+            np.subtract(log_c[for_c], value, out=value)
             at = value.argmin(axis=0)
-            cols = np.arange(samples)
-            low, who, step = value[at, cols], d[at], steps[at, cols]
+            found = (value[at, columns], mine[at], steps[at, columns])
             if best is None:
-                best = [low, who, step]
+                best = found
             else:
-                less = low < best[0]
-                best = [np.where(less, x, y) for x, y in zip((low, who, step), best, strict=True)]
+                less = found[0] < best[0]
+                best = tuple(np.where(less, x, y) for x, y in zip(found, best, strict=True))
         if best is not None:
-            out[k] = splitmix((best[1].astype(np.uint64) << np.uint64(20)) ^ (best[2].astype(np.int64).astype(np.uint64) * HASH_BASE) ^ np.uint64(SEED))
+            out[k] = splitmix(best[1] ^ (best[2].astype(np.int64).astype(np.uint64) * HASH_BASE))
     return out
 
 
@@ -265,10 +288,10 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
     found = components(links)
     around = star.select(F.col("a").alias("leader"), F.col("b").alias("node"), (1 - F.col("sim")).alias("dist"))
     around = around.unionByName(blocks.select("leader", F.col("leader").alias("node"), F.lit(0.0).alias("dist")))
-    placed = around.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = durable(around.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
     by_component = placed.groupBy("leader", "component").agg(F.count(F.lit(1)).alias("n"))
     main = by_component.groupBy("leader").agg(F.max(F.struct("n", "component")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    main = main.select("leader", F.col("m.component").alias("main"))
+    main = durable(main.select("leader", F.col("m.component").alias("main")))
     bins = placed.join(main, "leader").withColumn("bin", F.floor(F.col("dist") / _BIN).cast("int")).withColumn("other", F.col("component") != F.col("main"))
     bins = durable(bins.select("leader", "node", "component", "dist", "bin", "other"))
     counted = bins.groupBy("leader", "other", "bin").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))

@@ -93,3 +93,10 @@ def test_short_lines_in_the_query(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: (r.text, r.removed, r.kept_in) for r in op7_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {1: (rows[0][1], "", ""), 2: ("Les!\n}\n", "0", "1"), 3: ("", "0,1,2,4", "1,2")}
+
+
+def test_names_that_the_operator_uses_itself(spark):
+    df = spark.createDataFrame([(1, "a line that is long enough\nx", 5, 6, 7), (2, "a line that is long enough\ny", 5, 6, 7)], "doc_id long, text string, _id int, _row int, _Removed int")
+    out = dedup_lines(df)
+    assert out.columns == [*df.columns, "__removed", "_kept_in"]
+    assert {r.doc_id: (r.text, r._id, r._row, r._Removed, r["__removed"]) for r in out.collect()} == {1: (df.first().text, 5, 6, 7, []), 2: ("y", 5, 6, 7, [0])}

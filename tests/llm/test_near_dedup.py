@@ -148,3 +148,24 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[x] for x in ids[:100]} == {min(ids[:100])} and {got[x] for x in ids[100:150]} == {min(ids[100:150])}
     assert got[ids[160]] == got[ids[161]] == min(ids[160:162])
+
+
+def test_names_that_the_operator_uses_itself(spark):
+    text = "one two three four five six seven eight nine ten"
+    df = spark.createDataFrame([(1, text, 5, 6, 7), (2, text, 5, 6, 7), (2, text, 5, 6, 7), (3, None, 5, 6, 7), (None, "other", 5, 6, 7)], "doc_id long, text string, _id int, _node int, node int")
+    out = drop_near_duplicates(df)
+    assert out.columns == df.columns
+    assert sorted(map(str, (r.doc_id for r in out.collect()))) == ["1", "3", "None"]
+
+
+def test_different_shingles_are_never_one_element():
+    words = np.arange(1, 200_001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    samples = weighted_samples(np.arange(200_000) // 2, words, np.ones(200_000, np.float32), 100_000, 4)
+    # four samples take both shingles of a pair but for one case in eight
+    assert abs(len(np.unique(samples)) - 100_000 * (2 - 1 / 8)) < 500
+
+
+def test_long_texts(spark):
+    long = " ".join(f"w{i % 9973}x{i}" for i in range(60_000))
+    df = spark.createDataFrame([(1, long), (2, long + " more"), (3, "w " * 100_000)], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_classes(df).collect()} == {1: 1, 2: 1, 3: 3}
