@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioquery.operators.blocks import blocks_of, let, lines_of
-from folioquery.operators.structure import HEADING, heading_level
+from folioquery.operators.structure import HEADING, heading_level, json_escaped
 
 
+#: White space that ends of cells lose.
+WHITE = " \t\r\n\f\v"
 #: The marker of a list item.
 ITEM = r"^\s*([-*+]|\d{1,9}[.)])\s+"
 
@@ -63,30 +65,42 @@ def cells(node_table: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def escaped(value: Column) -> Column:
-    return F.replace(F.replace(F.coalesce(value, F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+    return F.trim(F.replace(F.replace(F.coalesce(value, F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" ")), F.lit(WHITE))
 
 
-def render_table(headers: Column, rows: Column) -> Column:
-    """A pipe table of an array of rows; headers are used only if they are as many as the columns, ragged rows are joined by bars."""
+def render_table(headers: Column, rows: Column, spanned: Column | None = None) -> Column:
+    """A pipe table of an array of rows; headers replace the first row if they are as many as the columns.
+
+    Ragged rows, and tables with cells over several rows or columns (``spanned``),
+    are lines of their filled cells joined by bars. No rows give an empty text.
+    """
 
     def line(values: Column) -> Column:
         return F.concat(F.lit("| "), F.array_join(F.transform(values, escaped), " | "), F.lit(" |"))
 
     widths = F.array_distinct(F.transform(rows, F.size))
     width = F.element_at(widths, 1)
-    head = F.when(F.size(headers) == width, headers).otherwise(F.array_repeat(F.lit(""), width))
+    headed = F.coalesce(F.size(headers) == width, F.lit(False))
+    head = F.when(headed, headers).otherwise(F.array_repeat(F.lit(""), width))
+    body = F.when(headed, F.slice(rows, 2, F.size(rows))).otherwise(rows)
     rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
-    full = F.concat(line(head), F.lit("\n"), rule, F.lit("\n"), F.array_join(F.transform(rows, line), "\n"))
-    return F.when(F.size(widths) == 1, full).otherwise(F.array_join(F.transform(rows, lambda r: F.array_join(r, " | ")), "\n"))
+    full = F.array_join(F.concat(F.array(line(head), rule), F.transform(body, line)), "\n")
+
+    def filled(row: Column) -> Column:
+        return F.array_join(F.filter(F.transform(row, lambda v: F.trim(F.coalesce(v, F.lit("")), F.lit(WHITE))), lambda v: v != ""), " | ")
+
+    plain = F.trim(F.array_join(F.transform(rows, filled), "\n"), F.lit(WHITE))
+    regular = (F.size(widths) == 1) & (width > 0) & ~F.coalesce(spanned if spanned is not None else F.lit(False), F.lit(False))
+    return F.when(F.coalesce(F.size(rows), F.lit(0)) <= 0, "").when(regular, full).otherwise(plain)
 
 
-def frontmatter(title: Column, source: Column, quality: Column) -> Column:
-    """A header of three keys with JSON-quoted values."""
+def frontmatter(title: Column, timestamp: Column) -> Column:
+    """A header of five keys; title and time stamp are JSON strings."""
 
     def quoted(x: Column) -> Column:
-        return F.concat(F.lit('"'), F.replace(F.replace(F.coalesce(x, F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+        return F.concat(F.lit('"'), json_escaped(F.coalesce(x, F.lit(""))), F.lit('"'))
 
-    return F.concat(F.lit("---\ntitle: "), quoted(title), F.lit("\nsource: "), quoted(source), F.lit("\nquality: "), quality, F.lit("\n---\n\n"))
+    return F.concat(F.lit('---\ntype: ""\ntitle: '), quoted(title), F.lit('\ndescription: ""\ntags: []\ntimestamp: '), quoted(timestamp), F.lit("\n---\n\n"))
 
 
 def render(node_table: DataFrame, id_col: str = "doc_id") -> DataFrame:

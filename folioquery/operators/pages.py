@@ -44,20 +44,23 @@ def match_tokens(text: Column) -> Column:
 def match_body(queries: DataFrame, body: DataFrame) -> DataFrame:
     """Body rows (node_id, text) that hold each query's text (query_id, text): equal, or as a part of 12 characters or more.
 
-    Each query is looked up by its rarest word alone, so the join is as small as
-    that word's postings; queries without words are compared for equality.
+    A part may begin and end inside words of the body, so its first and last word
+    tell nothing; it is looked up by the rarest of the words between, and the join
+    is as small as that word's postings. Only parts without such a word are
+    searched for in every body row.
     """
+    asked = queries.select("query_id", F.col("text").alias("wanted"))
+    equal = asked.join(body, F.col("text") == F.col("wanted")).select("query_id", "node_id", F.lit(True).alias("exact"))
+    parts = asked.where(F.length("wanted") >= LEAST_SUBSTRING).withColumn("tokens", match_tokens(F.regexp_replace("wanted", r"^[\p{L}\p{N}]+|[\p{L}\p{N}]+$", "")))
     postings = body.select("node_id", F.explode(match_tokens(F.col("text"))).alias("token"))
     frequency = postings.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    asked = queries.select("query_id", F.col("text").alias("wanted"), F.explode(match_tokens(F.col("text"))).alias("token"))
-    counted = asked.join(frequency, "token")
-    rarest = counted.groupBy("query_id", "wanted").agg(F.min_by("token", F.struct("n", "token")).alias("token"), F.count(F.lit(1)).alias("known"))
-    candidates = rarest.join(postings, "token").join(body, "node_id")
-    same = F.col("text") == F.col("wanted")
-    part = (F.length("wanted") >= LEAST_SUBSTRING) & F.col("text").contains(F.col("wanted"))
-    by_word = candidates.where(same | part).select("query_id", "node_id", same.alias("exact"))
-    wordless = queries.where(F.size(match_tokens(F.col("text"))) == 0).join(body.select("node_id", F.col("text")), "text").select("query_id", "node_id", F.lit(True).alias("exact"))
-    return by_word.unionByName(wordless)
+    counted = parts.select("query_id", "wanted", F.explode("tokens").alias("token")).join(frequency, "token")
+    rarest = counted.groupBy("query_id", "wanted").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
+    by_word = rarest.join(postings, "token").join(body, "node_id")
+    by_text = parts.where(F.size("tokens") == 0).select("query_id", "wanted").join(body, F.col("text").contains(F.col("wanted")))
+    held = F.col("text").contains(F.col("wanted")) & (F.col("text") != F.col("wanted"))
+    columns = ["query_id", "node_id", F.lit(False).alias("exact")]
+    return equal.unionByName(by_word.where(held).select(*columns)).unionByName(by_text.where(held).select(*columns))
 
 
 def unique_matches(matches: DataFrame) -> DataFrame:
@@ -84,11 +87,11 @@ def resolve_path(base: Column, target: Column) -> Column:
 
 
 def sample_offsets(length: Column, width: int, most: int = 64) -> Column:
-    """At most ``most`` evenly spaced starts of windows of a width, rounded half to even, distinct."""
-    last = length - width
+    """At most ``most`` evenly spaced starts of windows of a width, rounded half to even, distinct; 0 alone for a text no longer than the window."""
+    last = F.greatest(F.coalesce(length, F.lit(0)) - width, F.lit(0))
     n = F.least(F.lit(most), last + 1)
     spaced = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.bround(k * last / F.greatest(n - 1, F.lit(1))).cast("int"))
-    return F.when(last >= 0, F.array_distinct(spaced)).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.when(last > 0, F.array_distinct(spaced)).otherwise(F.array(F.lit(0)))
 
 
 def insertion_points(pages: DataFrame, doc: str, page: str, signature: str) -> DataFrame:

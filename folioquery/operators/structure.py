@@ -10,8 +10,11 @@ from folioquery.operators.blocks import FENCE, fences_of, let, lines_of
 CJK = r"[\x{4E00}-\x{9FFF}]"
 CJK_WIDE = r"[\x{3400}-\x{9FFF}]"
 HEADING = r"^#{1,6}\s+"
-#: Suffixes that carry a language: the sixteen known ones, longest first.
-LANGUAGE_SUFFIX = r"\.(zh-hans|zh-hant|zh-cn|zh-tw|pt-br|en-us|en-gb|zh|en|ja|ko|fr|de|es|ru|it)$"
+#: The suffixes that carry a language, and those of a second one before .md.
+LANGUAGES = ("zh", "en", "ja", "ko", "fr", "de", "es", "pt", "ru", "ar", "zh-cn", "zh-tw", "zh-hans", "zh-hant", "en-us", "en-gb")
+INNER_LANGUAGES = ("zh", "en", "ja", "ko")
+#: A Latin word: letters, with single hyphens or apostrophes inside, that no other letter or digit touches.
+LATIN_WORD = r"(?<![\p{L}\p{N}_])[A-Za-z]+(?:[-'][A-Za-z]+)*(?![\p{L}\p{N}_])"
 
 
 def heading_level(line: Column) -> Column:
@@ -26,12 +29,12 @@ def heading_counts(text: Column) -> Column:
 
 
 def paragraph_lines(text: Column) -> Column:
-    """Lines that are neither blank, headings nor tables, outside fences; any fence line toggles."""
+    """Lines that are neither blank nor begin with # or a bar, outside fences; any fence line toggles."""
     start = F.struct(F.lit(False).alias("inside"), F.lit(0).alias("n"))
 
     def fold(s: Column, x: Column) -> Column:
         fence = x.rlike(FENCE)
-        plain = ~s["inside"] & ~x.rlike(r"^\s*$") & ~x.rlike(HEADING) & ~F.ltrim(x).startswith("|")
+        plain = ~s["inside"] & ~x.rlike(r"^\s*(?:$|[#|])")
         return F.struct((s["inside"] != fence).alias("inside"), (s["n"] + F.when(~fence & plain, 1).otherwise(0)).alias("n"))
 
     return F.aggregate(lines_of(text), start, fold, lambda s: s["n"])
@@ -67,14 +70,21 @@ def language_by_letters(text: Column) -> Column:
 
 def language_by_words(text: Column) -> Column:
     """zh if the text has more CJK characters than Latin words outside fences and front matter, else en."""
-    t = unfenced(without_frontmatter(text))
-    return let(t, lambda x: F.when(F.regexp_count(x, F.lit(CJK_WIDE)) > F.regexp_count(x, F.lit("[A-Za-z]+")), "zh").otherwise("en"))
+    body = F.regexp_replace(F.coalesce(text, F.lit("")), r"\A---\s*\n(?s:.*?)\n---\s*\n", "")
+    t = F.regexp_replace(body, r"(?s)```.*?```|~~~.*?~~~", "")
+    return let(t, lambda x: F.when(F.regexp_count(x, F.lit(CJK_WIDE)) > F.regexp_count(x, F.lit(LATIN_WORD)), "zh").otherwise("en"))
 
 
 def latin_fragments(text: Column) -> Column:
-    """Runs of three or more Latin words, ten characters or more, outside code."""
+    """What may be untranslated in a Chinese text: runs of three or more Latin words, ten characters or more, outside code."""
     masked = F.regexp_replace(unfenced(text), "`[^`\n]+`", "")
-    return F.filter(F.regexp_extract_all(masked, F.lit("[A-Za-z]+(?: [A-Za-z]+){2,}"), 0), lambda x: F.length(x) >= 10)
+    return F.filter(F.regexp_extract_all(masked, F.lit(r"[A-Za-z]+(?:\s+[A-Za-z]+){2,}"), 0), lambda x: F.length(x) >= 10)
+
+
+def ideograph_fragments(text: Column) -> Column:
+    """What may be untranslated in an English text: runs of two or more ideographs outside code."""
+    masked = F.regexp_replace(unfenced(text), "`[^`\n]+`", "")
+    return F.regexp_extract_all(masked, F.lit(CJK + "{2,}"), 0)
 
 
 def title(text: Column, fallback: Column) -> Column:
@@ -92,7 +102,7 @@ def fingerprint_text(text: Column) -> Column:
 
 def stable_id(prefix: str, *parts: Column) -> Column:
     """Prefix and 16 hexadecimal digits of the SHA-256 of the parts as a JSON array without spaces."""
-    quoted = [F.coalesce(p if k == "number" else F.concat(F.lit('"'), _escape(p), F.lit('"')), F.lit("null")) for k, p in map(_kind, parts)]
+    quoted = [F.coalesce(p if k == "number" else F.concat(F.lit('"'), json_escaped(p), F.lit('"')), F.lit("null")) for k, p in map(_kind, parts)]
     return F.concat(F.lit(prefix + "-"), F.substring(F.sha2(F.concat(F.lit("["), F.concat_ws(",", *quoted), F.lit("]")), 256), 1, 16))
 
 
@@ -105,7 +115,7 @@ def number(value: Column) -> tuple[str, Column]:
     return "number", value.cast("string")
 
 
-def _escape(text: Column) -> Column:
+def json_escaped(text: Column) -> Column:
     """JSON string escapes of quotes, backslashes and the white space that text has."""
     out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     for raw, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
@@ -123,32 +133,54 @@ def redact_url(url: Column) -> Column:
 
 
 def url_slug(url: Column) -> Column:
-    """Host and path with runs of other characters than letters, digits and ideographs as hyphens; 120 characters at most."""
-    rest = F.regexp_replace(F.regexp_replace(url, "^[A-Za-z][A-Za-z0-9+.-]*://", ""), "[?#].*$", "")
-    slug = F.regexp_replace(F.regexp_replace(rest, r"[^A-Za-z0-9\x{4E00}-\x{9FFF}]+", "-"), "^-+|-+$", "")
-    return F.coalesce(F.nullif(F.substring(slug, 1, 120), F.lit("")), F.lit("url"))
+    """Host and path, percent-decoded, with runs of other characters than letters, digits and ideographs as hyphens.
+
+    120 characters at most; user-info, query and fragment don't count. A URL
+    without such characters is its host with hyphens for colons, or "untitled".
+    """
+    scheme = "^[A-Za-z][A-Za-z0-9+.-]*://"
+    host = F.regexp_replace(F.regexp_extract(url, scheme + "([^/?#]*)", 1), "^.*@", "")
+    path = F.regexp_replace(F.regexp_extract(url, f"(?:{scheme}[^/?#]*)?([^?#]*)", 1), ";[^/]*$", "")
+    raw = F.regexp_replace(F.concat(host, path), "^/+|/+$", "")
+    shown = F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
+    slug = F.regexp_replace(F.regexp_replace(shown, r"[^a-zA-Z0-9\x{4E00}-\x{9FFF}]+", "-"), "^-+|-+$", "")
+    full = F.when(slug == "", F.replace(host, F.lit(":"), F.lit("-"))).otherwise(slug)
+    return F.coalesce(F.nullif(F.regexp_replace(F.substring(full, 1, 120), "-+$", ""), F.lit("")), F.lit("untitled"))
 
 
 def numeric_cell(text: Column) -> Column:
-    """The number that a cell shows: thousands commas, brackets for negative; null for other text."""
-    t = F.trim(text)
-    negative = t.rlike(r"^\(.*\)$")
-    body = F.regexp_replace(F.when(negative, F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t), ",", "")
-    shaped = F.when(negative, F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t).rlike(r"^[+-]?([0-9]{1,3}(,[0-9]{3})+|[0-9]+)(\.[0-9]+)?$")
-    return F.when(shaped, body.try_cast("double") * F.when(negative, -1).otherwise(1))
+    """The number that a cell shows: commas don't count, brackets mean negative; null for other text."""
+    t = F.replace(F.trim(text), F.lit(","), F.lit(""))
+    negative = t.startswith("(") & t.endswith(")")
+    body = F.when(negative, F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t)
+    return F.when(body.rlike(r"^[-+]?[0-9]+(\.[0-9]+)?$"), body.try_cast("double") * F.when(negative, -1).otherwise(1))
 
 
 def natural_key(name: Column) -> Column:
-    """Sort key in which digit runs compare as numbers: each is padded to 20 digits."""
+    """Sort key in which digit runs compare as numbers of any length and come before other text: an array of parts.
+
+    A digit run is its length without leading zeros, and its digits.
+    """
     parts = F.regexp_extract_all(F.lower(name), F.lit("[0-9]+|[^0-9]+"), 0)
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, 20, "0")).otherwise(p)), "")
+
+    def part(p: Column) -> Column:
+        digits = F.regexp_replace(p, "^0+(?=.)", "")
+        return F.when(p.rlike("^[0-9]"), F.concat(F.lit("0"), F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(F.concat(F.lit("1"), p))
+
+    return F.transform(parts, part)
 
 
 def language_path(path: Column, language: str) -> Column:
-    """``report.zh.md`` to ``report.<language>.md``; a name without a language gets one."""
-    stem = F.regexp_replace(path, r"\.[^./]*$", "")
-    suffix = F.regexp_extract(path, r"(\.[^./]*)$", 1)
-    return F.concat(F.regexp_replace(stem, "(?i)" + LANGUAGE_SUFFIX, ""), F.lit(f".{language}"), suffix)
+    """``report.zh.docx`` to ``report.<language>.md``; a name without a language gets one."""
+    stem = F.regexp_replace(path, r"(?<=[^/])\.[^./]*$", "")
+    outer = F.regexp_replace(stem, rf"(?i)\.(?:{'|'.join(LANGUAGES)})$", "")
+    inner = F.regexp_replace(outer, rf"(?i)(?<=[^/])\.(?:{'|'.join(INNER_LANGUAGES)})$", "")
+    return F.concat(F.when(F.lower(path).endswith(".md"), inner).otherwise(outer), F.lit(f".{language}.md"))
+
+
+def glossary_path(path: Column, language: str) -> Column:
+    """``report.md`` to ``report.glossary.<language>.json``."""
+    return F.concat(F.regexp_replace(path, r"(?<=[^/])\.[^./]*$", ""), F.lit(f".glossary.{language}.json"))
 
 
 def timestamp_kind(value: Column) -> Column:
@@ -174,10 +206,23 @@ def component_problem(name: Column) -> Column:
     )
 
 
-#: Media types by suffix.
+#: Media types by suffix, those of office files first.
 MEDIA_TYPES = {
-    "md": "text/markdown", "txt": "text/plain", "csv": "text/csv", "html": "text/html", "json": "application/json", "pdf": "application/pdf",
-    "png": "image/png", "jpg": "image/jpeg", "gif": "image/gif",
+    "doc": "application/msword",
+    "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    "docm": "application/vnd.ms-word.document.macroEnabled.12",
+    "ppt": "application/vnd.ms-powerpoint",
+    "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
+    "pptm": "application/vnd.ms-powerpoint.presentation.macroEnabled.12",
+    "pps": "application/vnd.ms-powerpoint",
+    "ppsx": "application/vnd.openxmlformats-officedocument.presentationml.slideshow",
+    "xls": "application/vnd.ms-excel",
+    "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+    "xlsm": "application/vnd.ms-excel.sheet.macroEnabled.12",
+    "xlsb": "application/vnd.ms-excel.sheet.binary.macroEnabled.12",
+    "md": "text/markdown", "txt": "text/plain", "csv": "text/csv", "tsv": "text/tab-separated-values", "html": "text/html", "htm": "text/html", "xml": "text/xml",
+    "json": "application/json", "pdf": "application/pdf", "rtf": "application/rtf", "epub": "application/epub+zip", "zip": "application/zip",
+    "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "bmp": "image/bmp", "tif": "image/tiff", "tiff": "image/tiff", "webp": "image/webp",
 }
 
 

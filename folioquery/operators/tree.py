@@ -19,9 +19,9 @@ def with_paths(nodes: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
     return spark.sql(
         f"""
         WITH RECURSIVE walk(doc_id, id, parent, ordinal, kind, text, path, depth) AS (
-          SELECT doc_id, id, parent, ordinal, kind, text, lpad(cast(ordinal AS string), 10, '0'), 1 FROM {{nodes}} WHERE parent IS NULL
+          SELECT doc_id, id, parent, ordinal, kind, text, lpad(cast(ordinal AS string), 19, '0'), 1 FROM {{nodes}} WHERE parent IS NULL
           UNION ALL
-          SELECT n.doc_id, n.id, n.parent, n.ordinal, n.kind, n.text, concat(w.path, '/', lpad(cast(n.ordinal AS string), 10, '0')), w.depth + 1
+          SELECT n.doc_id, n.id, n.parent, n.ordinal, n.kind, n.text, concat(w.path, '/', lpad(cast(n.ordinal AS string), 19, '0')), w.depth + 1
           FROM walk w JOIN {{nodes}} n ON n.doc_id = w.doc_id AND n.parent = w.id WHERE w.depth < {most_depth}
         )
         SELECT * FROM walk

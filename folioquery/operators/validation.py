@@ -22,7 +22,9 @@ SEVERITIES = ["high", "medium", "low"]
 #: Cells of a stage and characters of a payload, at most.
 STAGE_CELLS, PAYLOAD_CHARS = 60, 10_000
 #: Bytes at the beginning of image files.
-MAGIC = {"image/png": "89504E470D0A1A0A", "image/jpeg": "FFD8FF", "image/gif": "474946383961", "image/bmp": "424D", "image/tiff": "49492A00"}
+MAGIC = {
+    "image/png": ["89504E470D0A1A0A"], "image/jpeg": ["FFD8FF"], "image/gif": ["474946383761", "474946383961"], "image/bmp": ["424D"], "image/tiff": ["49492A00", "4D4D002A"],
+}
 ASSET_BYTES, ALL_ASSET_BYTES = 100 << 20, 512 << 20
 
 
@@ -141,8 +143,11 @@ def magic_matches(media_type: Column, content: Column) -> Column:
     head = F.hex(F.substring(content, 1, 8))
     webp = (F.hex(F.substring(content, 1, 4)) == "52494646") & (F.hex(F.substring(content, 9, 4)) == "57454250")
     out = F.when(media_type == "image/webp", webp)
-    for name, magic in MAGIC.items():
-        out = out.when(media_type == name, head.startswith(magic))
+    for name, magics in MAGIC.items():
+        fits = head.startswith(magics[0])
+        for magic in magics[1:]:
+            fits = fits | head.startswith(magic)
+        out = out.when(F.lower(media_type) == name, fits)
     return out.otherwise(F.lit(False))
 
 

@@ -26,7 +26,7 @@ def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def render_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nations of each region as a pipe table; every other region has too few headers."""
+    """The nations of each region as a pipe table; every other region has headers for its first row, the others too few."""
     nations = read(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("n"))
     rows = F.transform("n", lambda x: F.array(x["n_nationkey"].cast("string"), F.concat(x["n_name"], F.lit("|x"))))
     headers = F.when(F.col("n_regionkey") % 2 == 0, F.array(F.lit("key"), F.lit("name"))).otherwise(F.array(F.lit("key")))
@@ -35,7 +35,7 @@ def render_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def render_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rendered = C.render(_nodes(spark, sf_dir))
-    head = C.frontmatter(F.concat(F.lit('Talk "'), "doc_id", F.lit('"')), F.lit("conversations"), F.lit("complete"))
+    head = C.frontmatter(F.concat(F.lit('Talk "'), "doc_id", F.lit('"')), F.lit("2024-05-01T00:00:00Z"))
     return rendered.select("doc_id", F.length("text").alias("chars"), F.sha2(F.concat(head, "text"), 256).alias("sha256"))
 
 
@@ -166,10 +166,11 @@ ORACLE_SQL = {
       r AS (SELECT doc_id, k - 1 AS row, string_split(regexp_replace(trim(rows[k]), '^\||\|$', '', 'g'), '|') AS vals FROM t, unnest(range(1, len(rows) + 1)) AS u(k))
       SELECT doc_id, row, c - 1 AS col, count(*) AS cells, min(trim(vals[c])) AS least, max(trim(vals[c])) AS most FROM r, unnest(range(1, len(vals) + 1)) AS u(c) GROUP BY 1, 2, 3""",
     "render_tables": r"""SELECT n_regionkey, CASE WHEN n_regionkey % 2 = 0 THEN '| key | name |' ELSE '|  |  |' END || chr(10) || '| --- | --- |' || chr(10)
-      || string_agg('| ' || n_nationkey || ' | ' || n_name || '\|x |', chr(10) ORDER BY n_nationkey) AS "table" FROM nation GROUP BY n_regionkey""",
+      || string_agg('| ' || n_nationkey || ' | ' || n_name || '\|x |', chr(10) ORDER BY n_nationkey) FILTER (WHERE n_regionkey % 2 = 1 OR place > 1) AS "table"
+      FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS place FROM nation) GROUP BY n_regionkey""",
     "render_documents": _NODES
     + r"""SELECT doc_id, length(string_agg(text, chr(10) || chr(10) ORDER BY ordinal)) AS chars,
-      sha256('---' || chr(10) || 'title: "Talk \"' || doc_id || '\""' || chr(10) || 'source: "conversations"' || chr(10) || 'quality: complete' || chr(10) || '---' || chr(10) || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY ordinal)) AS sha256 FROM nodes GROUP BY doc_id""",
+      sha256('---' || chr(10) || 'type: ""' || chr(10) || 'title: "Talk \"' || doc_id || '\""' || chr(10) || 'description: ""' || chr(10) || 'tags: []' || chr(10) || 'timestamp: "2024-05-01T00:00:00Z"' || chr(10) || '---' || chr(10) || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY ordinal)) AS sha256 FROM nodes GROUP BY doc_id""",
     "warning_summary": _NODES + "SELECT code, code = 'open_fence' AS content_loss, count(*) AS warnings, count(DISTINCT doc_id) AS documents FROM warned GROUP BY 1, 2",
     "quality_status": _NODES
     + "SELECT d.doc_id, CASE WHEN bool_or(code = 'open_fence') THEN 'partial' WHEN count(code) > 0 THEN 'complete_with_warnings' ELSE 'complete' END AS quality, count(code) AS warnings FROM md_docs d LEFT JOIN warned w USING (doc_id) GROUP BY d.doc_id",

@@ -37,7 +37,7 @@ def baseline_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def body_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of all documents that hold a benchmark text, a query with a single line being unique."""
     lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "text"))
-    body = lines.select((F.col("doc_id") * 100000 + F.col("at")).alias("node_id"), "text")
+    body = lines.select(F.concat_ws("-", "doc_id", "at").alias("node_id"), "text")
     queries = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return P.match_body(queries, body)
 
@@ -103,7 +103,7 @@ ORACLE_SQL = {
       m AS (SELECT page, median(height) AS h FROM i GROUP BY 1), s AS (SELECT *, (y - lag(y) OVER (PARTITION BY page ORDER BY y, x) > h * 0.3)::INT AS fresh FROM i JOIN m USING (page)),
       l AS (SELECT *, coalesce(sum(fresh) OVER (PARTITION BY page ORDER BY y, x ROWS UNBOUNDED PRECEDING), 0) + 1 AS line FROM s)
       SELECT page, line, min(x) AS x0, min(y) AS y0, max(x + 1) AS x1, max(y + height) AS y1, sum(length(text)) + count(*) - 1 AS chars FROM l GROUP BY 1, 2""",
-    "body_matches": """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), b AS (SELECT doc_id * 100000 + k - 1 AS node_id, lines[k] AS text FROM l, unnest(range(1, len(lines) + 1)) AS t(k))
+    "body_matches": """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), b AS (SELECT doc_id || '-' || (k - 1) AS node_id, lines[k] AS text FROM l, unnest(range(1, len(lines) + 1)) AS t(k))
       SELECT q.item_id AS query_id, b.node_id, b.text = q.text AS exact FROM benchmark q JOIN b ON b.text = q.text OR (length(q.text) >= 12 AND contains(b.text, q.text))""",
     "resolved_paths": """WITH RECURSIVE p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*/([^?#]*)', 1) AS path, ['a/b.png', '../x.png', '../../../y', '/abs/z.png', './q/../r', ''][page_id % 6 + 1] AS target FROM pages),
       j AS (SELECT page_id, string_split(CASE WHEN starts_with(target, '/') THEN target ELSE regexp_replace(path, '[^/]*$', '') || target END, '/') AS parts FROM p),
@@ -111,7 +111,7 @@ ORACLE_SQL = {
         UNION ALL SELECT page_id, parts, k + 1, CASE WHEN parts[k + 1] = '..' THEN CASE WHEN len(stack) > 0 THEN stack[:len(stack) - 1] ELSE stack END WHEN parts[k + 1] IN ('', '.') THEN stack ELSE list_append(stack, parts[k + 1]) END,
           escaped OR (parts[k + 1] = '..' AND len(stack) = 0) FROM w WHERE k < len(parts))
       SELECT page_id, CASE WHEN NOT escaped THEN array_to_string(stack, '/') END AS resolved FROM w WHERE k = len(parts)""",
-    "sampled_windows": """WITH d AS (SELECT doc_id, length(text) - 160 AS last, least(64, length(text) - 159) AS n FROM documents),
+    "sampled_windows": """WITH d AS (SELECT doc_id, greatest(coalesce(length(text), 0) - 160, 0) AS last, greatest(least(64, length(text) - 159), 1) AS n FROM documents),
       o AS (SELECT DISTINCT doc_id, round_even(k * last / greatest(n - 1, 1)::DOUBLE, 0)::BIGINT AS o FROM d, unnest(range(0, greatest(n, 0))) AS t(k))
       SELECT d.doc_id, count(o) AS windows, coalesce(sum(o), 0)::BIGINT AS total FROM d LEFT JOIN o USING (doc_id) GROUP BY d.doc_id""",
     "insertion_points": """SELECT conv_id, turn, coalesce(sum(length(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'))) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS position FROM conversations""",

@@ -97,7 +97,9 @@ def url_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "pages").select("page_id", S.url_slug(F.col("url")).alias("slug"))
+    """Every fourth URL with user-info and a percent-encoded tail."""
+    url = F.when(F.col("page_id") % 4 == 0, F.concat(F.regexp_replace("url", "://", "://user:pw@"), F.lit("%20caf%C3%A9+x;v=1?q=1#f"))).otherwise(F.col("url"))
+    return read(spark, sf_dir, "pages").select("page_id", S.url_slug(url).alias("slug"))
 
 
 def numeric_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +124,16 @@ def language_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", S.language_path(name, "fr").alias("target"))
 
 
+def glossary_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("out/"), "source", F.when(F.col("doc_id") % 2 == 0, ".zh.md").otherwise(""))
+    return read(spark, sf_dir, "documents").select("doc_id", S.glossary_path(name, "fr").alias("target"))
+
+
+def untranslated_ideographs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = read(spark, sf_dir, "documents").select("doc_id", S.ideograph_fragments(_mixed()).alias("f"))
+    return found.select("doc_id", F.size("f").alias("fragments"), F.coalesce(F.array_max(F.transform("f", F.length)), F.lit(0)).alias("longest"))
+
+
 def timestamp_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
     kind = F.col("event_id") % 4
@@ -146,7 +158,7 @@ def media_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        heading_counts, paragraph_counts, table_counts, structure_delta, untranslated_fragments, language_translate, language_review, titles, stable_ids,
+        heading_counts, paragraph_counts, table_counts, structure_delta, untranslated_fragments, untranslated_ideographs, glossary_paths, language_translate, language_review, titles, stable_ids,
         fingerprints, duplicate_fingerprints, url_redact, url_slug, numeric_cells, natural_sort, language_paths, timestamp_kinds, component_problems, media_types,
     )
 }
@@ -166,7 +178,7 @@ def _measure(source: str, name: str) -> str:
 ),
 {name} AS (
   SELECT doc_id, [{", ".join(f"count(*) FILTER (WHERE regexp_matches(line, '^#{{{k}}}\\s+'))" for k in range(1, 7))}] AS h,
-         count(*) FILTER (WHERE NOT fence AND fences % 2 = 0 AND NOT regexp_matches(line, '^\\s*$') AND NOT regexp_matches(line, '^#{{1,6}}\\s+') AND NOT pipe) AS p,
+         count(*) FILTER (WHERE NOT fence AND fences % 2 = 0 AND NOT regexp_matches(line, '^\\s*($|[#|])')) AS p,
          count(*) FILTER (WHERE pipe AND NOT coalesce(before, false)) AS t
   FROM {name}_flags GROUP BY doc_id
 )"""
@@ -186,7 +198,10 @@ unfenced_walk AS (
 unfenced AS (SELECT doc_id, coalesce(string_agg(lines[i], chr(10) ORDER BY i) FILTER (WHERE NOT code), '') AS text FROM unfenced_walk WHERE i > 0 GROUP BY doc_id)
 """
 _MIXED = "CASE WHEN doc_id % 3 = 0 THEN replace(text, ' ', '\u4e2d\u6587\u5b57\u7b26\u6bb5') ELSE text END"
-_SLUG = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '[?#].*$', ''), '[^A-Za-z0-9\\x{4E00}-\\x{9FFF}]+', '-', 'g'), '^-+|-+$', '', 'g')"
+_SLUG_URL = "CASE WHEN page_id % 4 = 0 THEN replace(url, '://', '://user:pw@') || '%20caf%C3%A9+x;v=1?q=1#f' ELSE url END"
+_HOST = r"regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', '')"
+_RAW = rf"url_decode(trim({_HOST} || regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), ';[^/]*$', ''), '/'))"
+_SLUG = rf"trim(regexp_replace({_RAW}, '[^a-zA-Z0-9\x{{4E00}}-\x{{9FFF}}]+', '-', 'g'), '-')"
 _FINGER = "sha256(lower(regexp_replace(coalesce(text, ''), '\\s+', '', 'g')))"
 _DEVICES = ", ".join(f"'{d}'" for d in S.DEVICES)
 _MEDIA = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.MEDIA_TYPES.items())
@@ -203,13 +218,22 @@ ORACLE_SQL = {
     "untranslated_fragments": _MD
     + ", src AS (SELECT * FROM md_docs),"
     + _UNFENCED
-    + """, runs AS (SELECT doc_id, list_filter(regexp_extract_all(regexp_replace(text, '`[^`\\n]+`', '', 'g'), '[A-Za-z]+(?: [A-Za-z]+){2,}'), lambda x: length(x) >= 10) AS f FROM unfenced)
+    + """, runs AS (SELECT doc_id, list_filter(regexp_extract_all(regexp_replace(text, '`[^`\\n]+`', '', 'g'), '[A-Za-z]+(?:\\s+[A-Za-z]+){2,}'), lambda x: length(x) >= 10) AS f FROM unfenced)
+    SELECT doc_id, len(f) AS fragments, coalesce(list_max(list_transform(f, lambda x: length(x))), 0) AS longest FROM runs""",
+    "glossary_paths": "SELECT doc_id, 'out/' || source || CASE WHEN doc_id % 2 = 0 THEN '.zh' ELSE '' END || '.glossary.fr.json' AS target FROM documents",
+    "untranslated_ideographs": f"WITH RECURSIVE src AS (SELECT doc_id, coalesce({_MIXED}, '') AS text FROM documents),"
+    + _UNFENCED
+    + """, runs AS (SELECT doc_id, regexp_extract_all(regexp_replace(text, '`[^`\\n]+`', '', 'g'), '[\\x{4E00}-\\x{9FFF}]{2,}') AS f FROM unfenced)
     SELECT doc_id, len(f) AS fragments, coalesce(list_max(list_transform(f, lambda x: length(x))), 0) AS longest FROM runs""",
     "language_translate": f"""SELECT doc_id, CASE WHEN len(regexp_extract_all(t, '[\\x{{4E00}}-\\x{{9FFF}}]')) > len(regexp_extract_all(t, '[A-Za-z]')) THEN 'zh' ELSE 'en' END AS language
       FROM (SELECT doc_id, coalesce({_MIXED}, '') AS t FROM documents)""",
-    "language_review": f"WITH RECURSIVE src AS (SELECT doc_id, regexp_replace(coalesce({_MIXED}, ''), '\\A---\\n(?s:.*?)\\n---\\n', '') AS text FROM documents),"
-    + _UNFENCED
-    + "SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '[\\x{3400}-\\x{9FFF}]')) > len(regexp_extract_all(text, '[A-Za-z]+')) THEN 'zh' ELSE 'en' END AS language FROM unfenced",
+    "language_review": rf"""WITH src AS (
+        SELECT doc_id, regexp_replace(regexp_replace(coalesce({_MIXED}, ''), '\A---\s*\n(?s:.*?)\n---\s*\n', ''), '(?s)```.*?```|~~~.*?~~~', '', 'g') AS text FROM documents),
+      cut AS (SELECT doc_id, text, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+') AS t FROM src),
+      -- words joined by one hyphen or apostrophe are one
+      counted AS (SELECT doc_id, text, len(list_filter(t, lambda x: regexp_full_match(x, '[A-Za-z]+')))
+        - len(list_filter(t, lambda x, i: (x = '-' OR x = chr(39)) AND i > 1 AND regexp_full_match(coalesce(t[i - 1], ''), '[A-Za-z]+') AND regexp_full_match(coalesce(t[i + 1], ''), '[A-Za-z]+'))) AS words FROM cut)
+      SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '[\x{{3400}}-\x{{9FFF}}]')) > words THEN 'zh' ELSE 'en' END AS language FROM counted""",
     "titles": _MD
     + ", src AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '# A *fine* [title](http://x) here #' || chr(10) ELSE '' END || text AS text FROM md_docs),"
     + _UNFENCED
@@ -221,13 +245,13 @@ ORACLE_SQL = {
     "fingerprints": f"SELECT doc_id, {_FINGER} AS fingerprint FROM documents",
     "duplicate_fingerprints": f"SELECT {_FINGER} AS fingerprint, count(*) AS documents, min(doc_id) AS first_doc_id FROM documents GROUP BY 1 HAVING count(*) > 1",
     "url_redact": "SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || regexp_extract(url, '://([^/?#]*)', 1) || coalesce(nullif(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), ''), '/') AS url FROM pages",
-    "url_slug": f"SELECT page_id, coalesce(nullif(substr({_SLUG}, 1, 120), ''), 'url') AS slug FROM pages",
+    "url_slug": f"SELECT page_id, coalesce(nullif(rtrim(substr(coalesce(nullif({_SLUG}, ''), replace({_HOST}, ':', '-')), 1, 120), '-'), ''), 'untitled') AS slug FROM (SELECT page_id, {_SLUG_URL} AS url FROM pages)",
     "numeric_cells": """SELECT c_custkey, cell, CASE WHEN cell = 'n/a' THEN NULL ELSE v / 100.0 END AS number FROM (
       SELECT c_custkey, sign(c_acctbal) * round(abs(c_acctbal) * 100) AS v,
         CASE WHEN c_acctbal < 0 THEN '(' || printf('%,.2f', abs(c_acctbal)) || ')' WHEN c_custkey % 10 = 0 THEN 'n/a' ELSE printf('%,.2f', c_acctbal) END AS cell FROM customer)""",
     "natural_sort": """WITH named AS (SELECT p_partkey, p_brand, substr(p_name, 1, 4) || p_size || '.png' AS name FROM part)
-      SELECT p_partkey, name, row_number() OVER (PARTITION BY p_brand ORDER BY array_to_string(list_transform(regexp_extract_all(lower(name), '[0-9]+|[^0-9]+'),
-        lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(x, 20, '0') ELSE x END), ''), p_partkey) AS place FROM named""",
+      SELECT p_partkey, name, row_number() OVER (PARTITION BY p_brand ORDER BY list_transform(regexp_extract_all(lower(name), '[0-9]+|[^0-9]+'),
+        lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN '0' || lpad(length(coalesce(nullif(ltrim(x, '0'), ''), '0'))::VARCHAR, 10, '0') || coalesce(nullif(ltrim(x, '0'), ''), '0') ELSE '1' || x END), p_partkey) AS place FROM named""",
     "language_paths": "SELECT doc_id, 'out/' || source || '.fr.md' AS target FROM documents",
     "timestamp_kinds": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'date' WHEN 2 THEN NULL ELSE 'instant' END AS kind FROM events",
     "component_problems": f"""WITH names AS (SELECT unnest(string_split(regexp_replace(url, '^[a-z]+://', ''), '/')) AS name FROM pages),

@@ -11,12 +11,15 @@ from folioquery.plans.documents import PASSAGE_CHARS
 from folioquery.sources.tables import read
 
 #: A small glossary: (term_id, source, target, confidence).
-TERMS = [("t1", "the", "le", "high"), ("t2", "Licensed under", "sous licence", "medium"), ("t3", "été", "summer", None), ("t4", "de la", "of the", "low"), ("t5", "version", "version", "high")]
+TERMS = [
+    ("t1", "the", "le", "high", "common"), ("t2", "Licensed under", "sous licence", "medium", "jargon"), ("t3", "été", "summer", None, "common"),
+    ("t4", "de la", "of the", "low", None), ("t5", "version", "version", "high", "acronym"), ("t6", "…,", "...", "low", None),
+]
 TOP_K, CAP, BATCH, GROUP = 5, 3, 4, 30
 
 
 def glossary(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TERMS, "term_id string, source string, target string, confidence string")
+    return spark.createDataFrame(TERMS, "term_id string, source string, target string, confidence string, kind string")
 
 
 def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +27,9 @@ def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def occurrence_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ledger(spark, sf_dir)
+    """The ledger under its published names."""
+    names = {"offset": "source_offset", "length": "source_length", "line": "source_line", "term_id": "entry", "term_key": "term_id"}
+    return _ledger(spark, sf_dir).withColumnsRenamed(names)
 
 
 def occurrence_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,10 +41,10 @@ def occurrence_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ledger_dispositions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ledger against a reviewed copy that lacks some rows, repeats others and has some of its own."""
-    ledger = _ledger(spark, sf_dir).select("occurrence_id", "term_id", "offset")
+    ledger = _ledger(spark, sf_dir).select("doc_id", "occurrence_id", "term_id", "offset")
     kept = ledger.where("offset % 7 <> 0").unionByName(ledger.where("offset % 11 = 1"))
     reviewed = kept.unionByName(ledger.where("offset % 13 = 0").withColumn("occurrence_id", F.concat(F.lit("x"), "occurrence_id")))
-    return T.set_difference(ledger, reviewed, ["term_id", "occurrence_id"]).groupBy("term_id", "state").agg(F.count(F.lit(1)).alias("occurrences"))
+    return T.set_difference(ledger, reviewed, ["doc_id", "term_id", "occurrence_id"]).groupBy("term_id", "state").agg(F.count(F.lit(1)).alias("occurrences"))
 
 
 def passage_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +96,7 @@ QUERIES = {
     )
 }
 
-_TERMS_SQL = "terms(term_id, source, target, confidence) AS (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in t) + ")" for t in TERMS) + ")"
+_TERMS_SQL = "terms(term_id, source, target, confidence, kind) AS (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in t) + ")" for t in TERMS) + ")"
 #: Positions by walking the text from hit to hit with a recursive query; then the neighbours of each are tested.
 _LEDGER_SQL = f"""{_TERMS_SQL},
 pairs AS (SELECT d.doc_id, g.term_id, g.source, coalesce(d.text, '') AS text FROM documents d CROSS JOIN terms g WHERE contains(lower(coalesce(d.text, '')), lower(g.source))),
@@ -103,28 +108,38 @@ hits AS (
 placed AS (
   SELECT doc_id, term_id, source, pos - 1 AS "offset", length(source) AS length,
          1 + length(substr(text, 1, pos - 1)) - length(replace(substr(text, 1, pos - 1), chr(10), '')) AS line
-  FROM hits WHERE NOT regexp_matches(coalesce(nullif(substr(text, pos - 1, CASE WHEN pos > 1 THEN 1 ELSE 0 END), ''), ' '), '[\\p{{L}}\\p{{N}}\\p{{M}}_]')
+  FROM hits WHERE NOT regexp_matches(source, '[A-Za-z0-9]') OR NOT regexp_matches(coalesce(nullif(substr(text, pos - 1, CASE WHEN pos > 1 THEN 1 ELSE 0 END), ''), ' '), '[\\p{{L}}\\p{{N}}\\p{{M}}_]')
     AND NOT regexp_matches(coalesce(nullif(substr(text, pos + length(source), 1), ''), ' '), '[\\p{{L}}\\p{{N}}\\p{{M}}_]')
 ),
-ledger AS (SELECT *, substr(sha256(doc_id || '|' || term_id || '|' || "offset" || '|' || length), 1, 24) AS occurrence_id FROM placed)
+hashes AS (SELECT doc_id, sha256(coalesce(text, '')) AS source_hash FROM documents),
+keys AS (
+  SELECT doc_id, term_id, any_value(source_hash) AS source_hash, coalesce(any_value(kind) IN ('proper-noun', 'jargon', 'acronym'), false) OR (contains(any_value(source), ' ') AND count(*) >= 2) AS key_item,
+         substr(sha256('{{"first_offset":' || min("offset") || ',"kind":"term","source":"' || lower(any_value(source)) || '","source_hash":"' || any_value(source_hash) || '"}}'), 1, 24) AS term_key
+  FROM placed JOIN hashes USING (doc_id) JOIN (SELECT term_id, kind FROM terms) USING (term_id) GROUP BY doc_id, term_id
+),
+ledger AS (
+  SELECT *, substr(sha256('{{"kind":"occurrence","length":' || length || ',"offset":' || "offset" || ',"source_hash":"' || source_hash || '","term_id":"' || term_key || '"}}'), 1, 24) AS occurrence_id
+  FROM placed JOIN keys USING (doc_id, term_id)
+)
 """
 _W = "WITH RECURSIVE "
 _PASSAGES = B.passages_sql(PASSAGE_CHARS)
-_COUNT = "((length({t}) - length(replace({t}, lower(g.source), ''))) // length(g.source))"
+_NEEDLE = "lower(strip_accents(g.source))"
+_COUNT = f"((length({{t}}) - length(replace({{t}}, {_NEEDLE}, ''))) // length({_NEEDLE}))"
 
 ORACLE_SQL = {
-    "occurrence_ledger": _W + _LEDGER_SQL + 'SELECT doc_id, term_id, source, "offset", length, line, occurrence_id FROM ledger',
+    "occurrence_ledger": _W + _LEDGER_SQL + 'SELECT doc_id, term_id AS entry, source, "offset" AS source_offset, length AS source_length, line AS source_line, term_key AS term_id, occurrence_id, source_hash, key_item FROM ledger',
     "occurrence_passages": _W + _LEDGER_SQL + "," + _PASSAGES
     + """SELECT term_id, passage, count(*) AS occurrences, count(DISTINCT l.doc_id) AS documents FROM ledger l LEFT JOIN passage_rows p ON p.doc_id = l.doc_id AND l.line BETWEEN p."start" AND p."end" GROUP BY 1, 2""",
     "ledger_dispositions": _W + _LEDGER_SQL
-    + """, reviewed AS (SELECT term_id, occurrence_id FROM ledger WHERE "offset" % 7 <> 0 UNION ALL SELECT term_id, occurrence_id FROM ledger WHERE "offset" % 11 = 1
-         UNION ALL SELECT term_id, 'x' || occurrence_id FROM ledger WHERE "offset" % 13 = 0),
-      n AS (SELECT term_id, occurrence_id, count(*) AS found FROM reviewed GROUP BY ALL)
+    + """, reviewed AS (SELECT doc_id, term_id, occurrence_id FROM ledger WHERE "offset" % 7 <> 0 UNION ALL SELECT doc_id, term_id, occurrence_id FROM ledger WHERE "offset" % 11 = 1
+         UNION ALL SELECT doc_id, term_id, 'x' || occurrence_id FROM ledger WHERE "offset" % 13 = 0),
+      n AS (SELECT doc_id, term_id, occurrence_id, count(*) AS found FROM reviewed GROUP BY ALL)
       SELECT coalesce(l.term_id, n.term_id) AS term_id, CASE WHEN found IS NULL THEN 'missing' WHEN l.term_id IS NULL THEN 'unknown' WHEN found > 1 THEN 'duplicate' ELSE 'ok' END AS state, count(*) AS occurrences
-      FROM ledger l FULL JOIN n ON l.occurrence_id = n.occurrence_id GROUP BY 1, 2""",
+      FROM ledger l FULL JOIN n ON l.doc_id = n.doc_id AND l.occurrence_id = n.occurrence_id GROUP BY 1, 2""",
     "passage_topk": _W + _TERMS_SQL + "," + _PASSAGES
     + f""", cut AS (SELECT d.source AS ref, printf('%s-%08d-%05d', d.source, p.doc_id, p.passage) AS passage_id, concat_ws(' ', d.source, d.lang) AS title, p.text FROM passage_texts p JOIN documents d USING (doc_id)),
-      scored AS (SELECT g.term_id, c.ref, c.passage_id, {_COUNT.format(t='lower(c.text)')} + contains(lower(c.title), lower(g.source))::INT AS score FROM cut c CROSS JOIN terms g),
+      scored AS (SELECT g.term_id, c.ref, c.passage_id, {_COUNT.format(t='lower(strip_accents(c.text))')} + contains(lower(strip_accents(c.title)), {_NEEDLE})::INT AS score FROM cut c CROSS JOIN terms g),
       first AS (SELECT *, row_number() OVER (PARTITION BY term_id, ref ORDER BY score DESC, passage_id) AS k FROM scored WHERE score > 0),
       placed AS (SELECT *, row_number() OVER (PARTITION BY term_id ORDER BY (k > 1), score DESC, passage_id) AS place FROM first)
       SELECT term_id, place, passage_id, ref, score FROM placed WHERE place <= {TOP_K}""",

@@ -44,8 +44,8 @@ QUERIES = {f.__name__: f for f in (tree_paths, tree_texts, tree_guard, inline_ru
 
 _NODES = """WITH RECURSIVE n AS (SELECT p_partkey // 40 AS doc_id, p_partkey % 40 AS id, CASE WHEN p_partkey % 40 >= 3 THEN (p_partkey % 40) // 3 END AS parent, p_size AS ordinal,
     substr(p_brand, 1, 7) AS kind, CASE WHEN p_size % 7 = 0 THEN ' ' ELSE p_partkey::VARCHAR END AS text FROM part),
-  w AS (SELECT *, lpad(ordinal::VARCHAR, 10, '0') AS path, 1 AS depth FROM n WHERE parent IS NULL
-    UNION ALL SELECT n.*, w.path || '/' || lpad(n.ordinal::VARCHAR, 10, '0'), w.depth + 1 FROM w JOIN n ON n.doc_id = w.doc_id AND n.parent = w.id)
+  w AS (SELECT *, lpad(ordinal::VARCHAR, 19, '0') AS path, 1 AS depth FROM n WHERE parent IS NULL
+    UNION ALL SELECT n.*, w.path || '/' || lpad(n.ordinal::VARCHAR, 19, '0'), w.depth + 1 FROM w JOIN n ON n.doc_id = w.doc_id AND n.parent = w.id)
 """
 _KINDS = ", ".join(f"'{k}'" for k in KINDS)
 

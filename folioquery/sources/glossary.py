@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Header names that mean the source or the target column.
-SOURCE_NAMES = ("source", "term", "original", "src")
-TARGET_NAMES = ("target", "translation", "translated", "tgt")
+#: Header names that mean the source or the target column.
+SOURCE_NAMES = ("source", "english", "en", "original", "from", "key", "term")
+TARGET_NAMES = ("target", "chinese", "zh", "translation", "to", "value", "translated")
 DELIMITERS = (",", "\t", ";", "|")
 
 

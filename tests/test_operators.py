@@ -45,7 +45,7 @@ def test_structure(spark):
     t = docs(spark, "---\na: b\n---\n# *T* [l](u)\n```\n# x\n```", "```\n# x\n```", None)
     assert [r[0] for r in t.select(structure.title(F.col("text"), F.lit("none"))).collect()] == ["T l", "none", "none"]
     n = docs(spark, "1,234", "(5.5)", "12,34", "", None, "-3", "abc", " 7 ")
-    assert [r[0] for r in n.select(structure.numeric_cell(F.col("text"))).collect()] == [1234.0, -5.5, None, None, None, -3.0, None, 7.0]
+    assert [r[0] for r in n.select(structure.numeric_cell(F.col("text"))).collect()] == [1234.0, -5.5, 1234.0, None, None, -3.0, None, 7.0]
     u = docs(spark, "HTTPS://u:p@h.x:8/a?q#f", "http://h", "nothing", None)
     assert [r[0] for r in u.select(structure.redact_url(F.col("text"))).collect()] == ["https://h.x:8/a", "http://h/", None, None]
     c = docs(spark, "ok.txt", "CON.txt", "a/b", "x.", "..", "", None, "t\x01")
@@ -76,9 +76,11 @@ def test_reducer_layers(spark):
 
 
 def test_render_table(spark):
-    df = spark.createDataFrame([(["a", "b"], [["1", "x|y"], ["2", None]]), (["a"], [["1", "2"]]), ([], [["1"], ["2", "3"]])], "h array<string>, r array<array<string>>")
+    rows = [(["a", "b"], [["1", " x|y"], ["2\n3", None]]), (["a"], [["1", "2"]]), ([], [[" 1 ", ""], ["2", "3", " "]]), (None, [["a", "b"]]), (["a"], [])]
+    df = spark.createDataFrame(rows, "h array<string>, r array<array<string>>")
     got = [r[0] for r in df.select(canonical.render_table(F.col("h"), F.col("r"))).collect()]
-    assert got == ["| a | b |\n| --- | --- |\n| 1 | x\\|y |\n| 2 |  |", "|  |  |\n| --- | --- |\n| 1 | 2 |", "1\n2 | 3"]
+    assert got == ["| a | b |\n| --- | --- |\n| 2 3 |  |", "|  |  |\n| --- | --- |\n| 1 | 2 |", "1\n2 | 3", "|  |  |\n| --- | --- |\n| a | b |", ""]
+    assert df.select(canonical.render_table(F.col("h"), F.col("r"), F.lit(True))).first()[0] == "1 | x|y\n2\n3"
 
 
 def test_alignment(spark):
@@ -124,3 +126,73 @@ def test_assembly(spark):
     assert saved == '{"terms":[{"source":"a","target":"x"},{"source":"b","target":"y","confidence":"high"}]}'
     refs = spark.createDataFrame([(0, "x"), (1, "y"), (2, "x")], "ordinal int, value string")
     assert sorted(tuple(r) for r in A.expand_references(refs).collect()) == [(0, "x"), (1, "y")]
+
+
+def values(spark, rows, make):
+    df = spark.createDataFrame([(r,) for r in rows], "v string")
+    return [r[0] for r in df.select(make(F.col("v"))).collect()]
+
+
+def test_expected_values_of_names_and_numbers(spark):
+    assert values(spark, ["report.md", "a/report.zh.md", "report.EN-US.docx", "report.pt.md", "x.it.md", "r.zh.en.md", "plain", "a.b/plain"], lambda v: structure.language_path(v, "fr")) == [
+        "report.fr.md", "a/report.fr.md", "report.fr.md", "report.fr.md", "x.it.fr.md", "r.fr.md", "plain.fr.md", "a.b/plain.fr.md",
+    ]
+    assert values(spark, ["report.md", "a/r.zh.md", "x"], lambda v: structure.glossary_path(v, "zh")) == ["report.glossary.zh.json", "a/r.zh.glossary.zh.json", "x.glossary.zh.json"]
+    slugs = {"http://u:p@h.com/a%20b": "h-com-a-b", "http://u:p@h.com:80": "h-com-80", "https://h.com/caf%C3%A9+x;v=1?q#f": "h-com-caf-x", "http://h/%E4%B8%AD": "h-中", "http://h/%zz": "h-zz", "x://": "untitled", "http://h/" + "a" * 200: "h-" + "a" * 118, "http://h/" + "a" * 117 + "/b": "h-" + "a" * 117}
+    assert values(spark, list(slugs), structure.url_slug) == list(slugs.values())
+    cells = {"12,34": 1234.0, " (1,000.5) ": -1000.5, "-3": -3.0, "(-3)": 3.0, "1.": None, "": None, "n/a": None, "+7": 7.0}
+    assert values(spark, list(cells), structure.numeric_cell) == list(cells.values())
+    order = ["a2", "a02b", "a10", "a" + "9" * 25, "a1" + "0" * 25, "ab"]
+    got = spark.createDataFrame([(x,) for x in reversed(order)], "v string").orderBy(structure.natural_key(F.col("v"))).collect()
+    assert [r.v for r in got] == order
+
+
+def test_expected_values_of_texts(spark):
+    text = "# Title\n#tag\n\npara one\n| a |\n  # indented\n```\ncode\n```\npara two"
+    assert values(spark, [text, "", "~~~\nx"], structure.paragraph_lines) == [2, 0, 0]
+    words = {"don't well-known 中文": "en", "don't 中文": "zh", "été a1 中": "zh", "---\nx y z\n---\n中": "zh", "```a b c```中": "zh", "a-b-c 中文": "zh", "": "en"}
+    assert values(spark, list(words), structure.language_by_words) == list(words.values())
+    assert values(spark, ["see these\tthree  words", "a b c", "`one two three four`"], structure.latin_fragments) == [["see these\tthree  words"], [], []]
+    assert values(spark, ["a 中文 b 中 `中文`"], structure.ideograph_fragments) == [["中文"]]
+    offsets = spark.createDataFrame([(5, 10), (10, 10), (12, 10), (100, 10), (0, 4), (None, 4)], "n int, w int")
+    assert [r[0] for r in offsets.select(pages.sample_offsets(F.col("n"), F.col("w"), 4)).collect()] == [[0], [0], [0, 1, 2], [0, 30, 60, 90], [0], [0]]
+    head = spark.range(1).select(canonical.frontmatter(F.lit('A "b"\n'), F.lit("2024"))).first()[0]
+    assert head == '---\ntype: ""\ntitle: "A \\"b\\"\\n"\ndescription: ""\ntags: []\ntimestamp: "2024"\n---\n\n'
+
+
+def test_parts_of_words_are_matched(spark):
+    queries = spark.createDataFrame([(1, "ear marmalade sandwiches"), (2, "ear marmalade"), (3, "a bear"), (4, "unknown words in here"), (5, "")], "query_id long, text string")
+    body = spark.createDataFrame([("x", "a bear marmalade sandwiches"), ("y", "a bear"), ("z", "bear marmalades")], "node_id string, text string")
+    got = sorted((r.query_id, r.node_id, r.exact) for r in pages.match_body(queries, body).collect())
+    assert got == [(1, "x", False), (2, "x", False), (2, "z", False), (3, "y", True)]
+
+
+def test_ledger_ids_and_terms_with_any_characters(spark):
+    import hashlib
+    import json
+
+    text = "The API is fast.\nan api \\E( x [a] api-x 中文 中文"
+    rows = [(k, t, None) for k, t in enumerate(["api", "\\E(", "[a]", "中文", "the  API", " ", "is fast"])] + [(9, "Api", "acronym")]
+    out = terms.occurrence_ledger(docs(spark, text), spark.createDataFrame(rows, "term_id int, source string, kind string")).collect()
+    found = {}
+    for r in sorted(out, key=lambda r: (r.term_id, r.offset)):
+        assert text[r.offset : r.offset + r.length].lower() == r.source.lower() and r.line == text.count("\n", 0, r.offset) + 1
+        found.setdefault(r.term_id, []).append(r)
+    assert {k: len(v) for k, v in found.items()} == {0: 3, 1: 1, 2: 1, 3: 2, 6: 1, 9: 3}
+    sha = hashlib.sha256(text.encode()).hexdigest()
+
+    def key(**parts):
+        return hashlib.sha256(json.dumps(parts, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:24]
+
+    for group in found.values():
+        term = key(kind="term", source=group[0].source.lower(), source_hash=sha, first_offset=group[0].offset)
+        assert {r.term_key for r in group} == {term}
+        assert [r.occurrence_id for r in group] == [key(kind="occurrence", term_id=term, source_hash=sha, offset=r.offset, length=r.length) for r in group]
+    assert [found[k][0].key_item for k in (0, 3, 6, 9)] == [False, False, False, True]
+
+
+def test_retrieval_without_marks(spark):
+    passages = spark.createDataFrame([("p1", "r1", "un été, un ete", "Été"), ("p2", "r1", "ETE", ""), ("p3", "r2", "中文", "")], "passage_id string, ref string, text string, title string")
+    wanted = spark.createDataFrame([("t", "été"), ("c", "中")], "term_id string, source string")
+    got = sorted((r.term_id, r.place, r.passage_id, r.score) for r in terms.passage_top_k(wanted, passages, 3).collect())
+    assert got == [("c", 1, "p3", 1), ("t", 1, "p1", 3), ("t", 2, "p2", 1)]
