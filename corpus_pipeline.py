@@ -22,28 +22,55 @@ from folioquery.llm.toxicity import reject_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; the others stay as they are."""
+    """Documents that the classifier rejects go; the others stay as they are.
+
+    Null texts count as empty and score like texts without any marked word. Each
+    row is judged by its text, so repeated rows go or stay together; null ids
+    stay unless their text is toxic. Without toxic labels, or without documents,
+    nothing goes. Further columns are carried along, whatever their names.
+    """
     return reject_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; every document stays, with the rest of its text and its new length."""
+    """Repeated lines go; every document stays, with the rest of its text and its new length.
+
+    Null and empty texts and blank lines stay as they are. Of equal lines the one
+    that comes first by id (null first), text hash and place stays; rows equal in
+    id and text count as one. Further columns are carried along, whatever their
+    names; an empty table stays empty.
+    """
     cleaned = dedup_lines(docs, min_equal=1).select(*docs.columns)
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays."""
+    """One document of each near-duplicate class stays: the one with the least id (null last), of several the one with the least text hash.
+
+    Rows equal in id and text are one; null texts count as empty, and texts
+    without words are alike only if they are equal. Columns stay as they are,
+    whatever their names; an empty table stays empty.
+    """
     return drop_near_duplicates(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as many times as its source's target takes it."""
+    """Every document as many times as its source's target takes it.
+
+    Null sources are one source, null texts have no words and follow their
+    source's rate, equal rows have a draw each. Columns stay as they are,
+    whatever their names; an empty table, or one without words, gives no rows.
+    """
     return mix(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 1024 tokens."""
+    """Pieces of the documents in sequences of 1024 tokens.
+
+    Null texts count as empty and give the closing id alone; every row is a
+    document of its own, null and repeated ids too. Further columns aren't read;
+    an empty table gives no rows.
+    """
     return pack(docs)
 
 
