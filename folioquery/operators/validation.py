@@ -19,6 +19,37 @@ DIMENSION_CATEGORIES = {"reference-coverage": ["omission"], "adjudication": ["fa
 OBSERVATION_KINDS = ["term", "entity", "number", "date", "format", "claim"]
 SEVERITIES = ["high", "medium", "low"]
 
+ISSUE_SEVERITIES = ["warning", "error"]
+OCR_MODES = ["off", "auto", "force"]
+QA_CHECKS = ["chunk_seams", "context_rules", "reference_expression", "register_style", "source_residual"]
+SCHEMA_VERSION = "3.0"
+MOJIBAKE = ["茂驴陆", "脙陇", "芒鈧", "脙漏", "脙篓", "脙鹿", "脙禄"]
+# What each dimension is called in a report.
+SCOPES_EN = {
+    "grammar-style": "grammar and style review",
+    "logic-consistency": "logic and consistency review",
+    "document-global": "document-wide consistency review",
+    "observation-reduce": "cross-chunk observation reduction",
+    "claim-extraction": "source claim extraction",
+    "passage-index": "reference passage indexing",
+    "semantic-routing": "semantic reference routing",
+    "grounding": "claim grounding",
+    "reference-coverage": "reference coverage and omissions",
+    "adjudication": "contradiction and unsupported-claim adjudication",
+}
+SCOPES_ZH = {
+    "grammar-style": "语法与风格",
+    "logic-consistency": "逻辑与一致性",
+    "document-global": "全文一致性",
+    "observation-reduce": "跨段归并",
+    "claim-extraction": "主张提取",
+    "passage-index": "参考材料索引",
+    "semantic-routing": "语义检索",
+    "grounding": "主张核验",
+    "reference-coverage": "参考材料覆盖与遗漏",
+    "adjudication": "矛盾与无依据内容复核",
+}
+
 #: Cells of a stage and characters of a payload, at most.
 STAGE_CELLS, PAYLOAD_CHARS = 60, 10_000
 #: Bytes at the beginning of image files.
@@ -43,10 +74,11 @@ def focus_checks(focus: Column) -> Column:
     return _lookup(FOCUS_CHECKS, F.lower(F.coalesce(focus, F.lit("all"))))
 
 
-def dimensions(checks: Column) -> Column:
-    """Distinct dimensions of the checks, in order of their first check."""
+def dimensions(checks: Column, has_references: Column | None = None) -> Column:
+    """Distinct dimensions of the checks, in their fixed order, and the one of references where there are some."""
     names = F.create_map(*[F.lit(x) for kv in CHECK_DIMENSION.items() for x in kv])
-    return F.array_compact(F.array_distinct(F.transform(checks, lambda c: F.element_at(names, c))))
+    own = F.array_sort(F.array_compact(F.array_distinct(F.transform(checks, lambda c: F.element_at(names, c)))))
+    return own if has_references is None else F.when(has_references, F.array_append(own, F.lit("fact-check"))).otherwise(own)
 
 
 def allowed_categories(stage: Column, dimension: Column, checks: Column) -> Column:
@@ -83,6 +115,54 @@ def binding_problems(expected: dict[str, Column], actual: dict[str, Column]) ->
     return problems(**{k: v.eqNullSafe(actual[k]) for k, v in expected.items()})
 
 
+def observation_problems(kinds: Column) -> Column:
+    """A message for each observation whose kind isn't a supported one; a missing list is a problem of its own."""
+    faults = F.filter(F.transform(kinds, lambda k, i: F.when(~F.coalesce(k.isin(OBSERVATION_KINDS), F.lit(False)), F.concat(F.lit("observations["), i, F.lit("] is not a supported observation")))), lambda m: m.isNotNull())
+    return F.coalesce(faults, F.array(F.lit("observations must be a list")))
+
+
+def partial_problems(same_task: Column, version: Column, attempt: Column, status: Column, required: Column, checks: Column, severities: Column, retries: int = 2) -> Column:
+    """What keeps a partial result from being taken: other fields than its task's, version, attempts, status, checks (a map) and issues.
+
+    Checks and issues count only for a task with required checks. Null checks or
+    severities are missing ones; a check category that is no required one counts
+    like a missing one.
+    """
+    plain = F.size(required) == 0
+    known = F.array_sort(F.map_keys(checks)) == F.array_sort(required)
+    passed = F.forall(F.map_values(checks), lambda v: F.coalesce(v == "pass", F.lit(False)))
+    rated = F.forall(severities, lambda s: F.coalesce(s.isin(ISSUE_SEVERITIES), F.lit(False)))
+    return problems(
+        task=same_task,
+        schema_version=version == SCHEMA_VERSION,
+        attempt=attempt.between(1, retries + 1),
+        status=status == "completed",
+        check_categories=plain | known,
+        check_failed=plain | ~F.coalesce(known, F.lit(False)) | passed,
+        issues=plain | severities.isNotNull(),
+        issue_severity=plain | severities.isNull() | rated,
+        error_reported=plain | severities.isNull() | ~rated | ~F.array_contains(severities, "error"),
+    )
+
+
+def semantic_problems(translation: Column, severities: Column, checks: Column) -> Column:
+    """What is wrong with a report on meaning: the hash it is about, its issues, and each of the fixed checks that didn't pass, in order of names."""
+    named = [F.when(~F.coalesce(F.element_at(checks, name) == "pass", F.lit(False)), F.lit(f"check:{name}")) for name in QA_CHECKS]
+    of_checks = F.when(checks.isNull(), F.array(F.lit("checks"))).otherwise(F.array_compact(F.array(*named)))
+    each = F.transform(severities, lambda s: F.when(~F.coalesce(s.isin(ISSUE_SEVERITIES), F.lit(False)), "issue_severity").when(s == "error", "error_reported"))
+    of_issues = F.coalesce(F.array_compact(each), F.array(F.lit("issues")))
+    return F.concat(problems(translation_sha256=translation.isNotNull()), of_issues, of_checks)
+
+
+def translator_problems(markdown: Column, audited: Column, audit_chunk: Column, expected_chunk: Column) -> Column:
+    """Whether a translator's result has text, an audit (``audited``) and, where the audit names a chunk, the expected one."""
+    return problems(
+        translated_markdown=F.regexp_replace(markdown, r"(?U)\s+", "") != "",
+        self_audit=audited,
+        chunk=~F.coalesce(audited, F.lit(False)) | audit_chunk.isNull() | (audit_chunk == expected_chunk),
+    )
+
+
 def passes(checks: Column, severities: Column, required: list[str]) -> Column:
     """Whether all required checks (a map) passed and no issue is an error."""
     good = F.lit(True)
@@ -100,21 +180,38 @@ def exactly_once(expected: DataFrame, actual: DataFrame, keys: list[str]) -> Dat
     return counted.withColumn("ok", (F.col("missing") == 0) & (F.col("unknown") == 0) & (F.col("duplicate") == 0))
 
 
-def stage_room(cells: DataFrame) -> DataFrame:
-    """Cells by stage, and whether they are within the limit."""
-    return cells.groupBy("stage").agg(F.count(F.lit(1)).alias("cells")).withColumn("within", F.col("cells") <= STAGE_CELLS)
+def stage_room(cells: DataFrame, adding: int = 0, keys: tuple[str, ...] = ("stage",)) -> DataFrame:
+    """Cells by stage, and whether they are within the limit after ``adding`` more."""
+    return cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("cells")).withColumn("within", F.col("cells") + adding <= STAGE_CELLS)
 
 
 def within_payload(payload: Column) -> Column:
     return F.length(payload) <= PAYLOAD_CHARS
 
 
-def collect_results(plan: DataFrame, results: DataFrame, attempts: DataFrame) -> DataFrame:
-    """Status of each planned cell: accepted, invalid, failed after three attempts, or pending."""
-    tried = attempts.groupBy("cell_id").agg(F.count(F.lit(1)).alias("tried"))
-    joined = plan.join(results.select("cell_id", "valid"), "cell_id", "left").join(tried, "cell_id", "left")
-    status = F.when(F.col("valid"), "accepted").when(F.col("tried") >= 3, "failed").when(~F.col("valid"), "invalid").otherwise("pending")
-    return joined.select("cell_id", status.alias("status"), F.coalesce("tried", F.lit(0)).alias("attempts"))
+def collect_results(plan: DataFrame, results: DataFrame, attempts: DataFrame, require_accepted: bool = False) -> DataFrame:
+    """Status and errors of each planned cell.
+
+    ``results`` has cell_id, result_hash, findings (their number) and problems (an
+    array), ``attempts`` the ledger's cell_id, ledger_status and accepted_hash; both
+    have a cell at most once. A cell without result, with problems, or whose
+    ledger entry failed or accepted another result, is FAILED; a sound one that the
+    ledger hasn't accepted is valid_unaccepted (FAILED if acceptance is required);
+    an accepted one is empty or accepted, by whether it has findings.
+    """
+    joined = plan.select("cell_id").join(results.select("cell_id", "result_hash", "findings", "problems"), "cell_id", "left")
+    joined = joined.join(attempts.select("cell_id", "ledger_status", "accepted_hash"), "cell_id", "left")
+    known = F.coalesce(F.col("ledger_status"), F.lit(""))
+    ledger = (
+        F.when(known == "FAILED", "failed_in_ledger")
+        .when((known == "accepted") & ~F.col("accepted_hash").eqNullSafe(F.col("result_hash")), "result_changed")
+        .when(F.lit(require_accepted) & (known != "accepted"), "not_accepted")
+    )
+    found = F.coalesce(F.col("problems"), F.array().cast("array<string>"))
+    errors = F.when(F.col("result_hash").isNull(), F.array(F.lit("no_result"))).when(F.size(found) > 0, found).otherwise(F.array_compact(F.array(ledger)))
+    judged = joined.withColumn("errors", errors)
+    status = F.when(F.size("errors") > 0, "FAILED").when(known != "accepted", "valid_unaccepted").when(F.coalesce("findings", F.lit(0)) == 0, "empty").otherwise("accepted")
+    return judged.select("cell_id", status.alias("status"), "errors")
 
 
 def uncovered(cells: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -123,20 +220,51 @@ def uncovered(cells: DataFrame, verdicts: DataFrame) -> DataFrame:
     return open_.unionByName(verdicts.where("verdict = 'unverified'").select(F.lit("claim").alias("kind"), F.col("claim_id").cast("string").alias("id")))
 
 
+def scope_label(dimension: Column, lines: Column, language: str = "en") -> Column:
+    """What a cell was to cover, in a reader's words; unknown dimensions stay as they are, missing ones are a review."""
+    names = SCOPES_ZH if language == "zh" else SCOPES_EN
+    known = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), dimension), dimension, F.lit("review"))
+    before, after = ("（第 ", " 行）") if language == "zh" else (" (lines ", ")")
+    return F.when(F.coalesce(lines, F.lit("")) == "", known).otherwise(F.concat(known, F.lit(before), lines, F.lit(after)))
+
+
+def uncovered_scopes(cells: DataFrame, run: str, order: str, language: str = "en") -> DataFrame:
+    """(run, scope): the distinct labels of a run's open cells (dimension, lines), in order of their first one.
+
+    Labels are made distinct before a run's are brought together: a run has as
+    many as it has dimensions and line ranges.
+    """
+    label = scope_label(F.col("dimension"), F.col("lines"), language)
+    first = cells.groupBy(run, label.alias("label")).agg(F.min(order).alias("at"))
+    ordered = F.array_sort(F.collect_list(F.struct("at", "label")))
+    return first.groupBy(run).agg(F.array_join(F.transform(ordered, lambda x: x["label"]), "、" if language == "zh" else "; ").alias("scope"))
+
+
 def split_cell(cells: DataFrame, items: str) -> DataFrame:
-    """Each cell as two halves of its items, ``.a`` and ``.b``; one of a single item stays."""
-    half = F.ceil(F.size(items) / 2).cast("int")
+    """(cell_id, items, parent, problem): each cell as two halves of its items, ``.a`` the shorter and ``.b``.
+
+    A cell of less than two items can't be split: it stays, without parent, with a problem.
+    """
+    half = F.floor(F.size(items) / 2).cast("int")
+    parent = F.col("cell_id").alias("parent")
+    none = F.lit(None).cast("string")
     both = F.array(
-        F.struct(F.concat("cell_id", F.lit(".a")).alias("cell_id"), F.slice(items, F.lit(1), half).alias(items)),
-        F.struct(F.concat("cell_id", F.lit(".b")).alias("cell_id"), F.slice(items, half + 1, F.size(items) - half).alias(items)),
+        F.struct(F.concat("cell_id", F.lit(".a")).alias("cell_id"), F.slice(items, F.lit(1), half).alias(items), parent, none.alias("problem")),
+        F.struct(F.concat("cell_id", F.lit(".b")).alias("cell_id"), F.slice(items, half + 1, F.size(items) - half).alias(items), parent, none.alias("problem")),
     )
-    one = F.array(F.struct(F.col("cell_id"), F.col(items)))
-    return cells.select(F.explode(F.when(F.size(items) > 1, both).otherwise(one)).alias("c")).select("c.*")
+    one = F.array(F.struct(F.col("cell_id"), F.col(items), none.alias("parent"), F.lit("indivisible").alias("problem")))
+    return cells.select(F.explode(F.when(F.coalesce(F.size(items), F.lit(0)) > 1, both).otherwise(one)).alias("c")).select("c.*")
+
 
+def dependency_hash(own: Column, dependencies: Column) -> Column:
+    """Hash of a cell's input hash and of its dependencies (an array of (id, hash)) in order of their ids, as JSON with sorted keys."""
+    from folioquery.operators.structure import json_escaped
 
-def dependency_hash(own: Column, payloads: Column) -> Column:
-    """Hash of a cell's input and of its dependencies' payload hashes in order."""
-    return F.sha2(F.concat_ws("|", own, F.array_join(F.array_sort(payloads), "|")), 256)
+    def quoted(text: Column) -> Column:
+        return F.coalesce(F.concat(F.lit('"'), json_escaped(text), F.lit('"')), F.lit("null"))
+
+    each = F.transform(F.array_sort(dependencies), lambda d: F.concat(F.lit("["), quoted(d["id"]), F.lit(","), quoted(d["hash"]), F.lit("]")))
+    return F.sha2(F.concat(F.lit('{"dependencies":['), F.array_join(each, ","), F.lit('],"input_hash":'), quoted(own), F.lit("}")), 256)
 
 
 def magic_matches(media_type: Column, content: Column) -> Column:
@@ -161,10 +289,14 @@ def asset_problem(media_type: Column, content: Column) -> Column:
     )
 
 
-def target_action(target: Column, source: Column, exists: Column, overwrite: Column, rename: Column) -> Column:
-    """What to do with a target path: refuse one that is the source or holds it; else write, overwrite, rename or skip."""
-    holds = source.startswith(F.concat(F.regexp_replace(target, "/+$", ""), F.lit("/")))
-    return F.when((target == source) | holds, "refuse").when(~exists, "write").when(overwrite, "overwrite").when(rename, "rename").otherwise("skip")
+def target_action(target: Column, source: Column, exists: Column, overwrite: Column, rename: Column, bundle: Column | None = None) -> Column:
+    """What to do with a target path: refuse the source itself and, for a bundle, a folder that holds it; else write, rename, overwrite or report a collision.
+
+    A source with a scheme is no local path and never refused.
+    """
+    local = ~source.rlike("^[A-Za-z][A-Za-z0-9+.-]*://")
+    holds = F.coalesce(bundle, F.lit(False)) & is_within(source, target) if bundle is not None else F.lit(False)
+    return F.when(local & ((target == source) | holds), "refuse").when(~exists, "write").when(rename, "rename").when(overwrite, "overwrite").otherwise("collision")
 
 
 def is_within(child: Column, parent: Column) -> Column:
@@ -173,10 +305,17 @@ def is_within(child: Column, parent: Column) -> Column:
     return (F.regexp_replace(child, "/+$", "") == base) | child.startswith(F.concat(base, F.lit("/")))
 
 
-def readable(text: Column) -> Column:
-    """Whether extracted text is usable: 32 letters or digits, no replacement, control or private-use characters."""
-    visible = F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]", ""))
-    return F.coalesce((visible >= 32) & ~text.rlike(r"[\x{FFFD}\x{FFFE}\x{E000}-\x{F8FF}\x00-\x08\x0B\x0C\x0E-\x1F]"), F.lit(False))
+def readable(text: Column, signature: Column, reason: Column) -> Column:
+    """Whether repaired text of a page that was suspected to be garbled is usable.
+
+    ``signature`` is its visible signature, of 32 characters or more; replacement,
+    control and private-use characters and signs of a wrong decoding rule it out.
+    """
+    wrong = F.lit(False)
+    for mark in MOJIBAKE:
+        wrong = wrong | text.contains(mark)
+    clean = ~text.rlike(r"[\x{FFFD}\x{FFFE}\x{E000}-\x{F8FF}\x00-\x08\x0B\x0C\x0E-\x1F]")
+    return F.coalesce((F.trim(reason) == "suspected_garbled_text") & ~wrong & (F.length(signature) >= 32) & clean, F.lit(False))
 
 
 def result_file(cell_id: Column) -> Column:
@@ -184,7 +323,9 @@ def result_file(cell_id: Column) -> Column:
 
 
 def safe_stem(name: Column) -> Column:
-    cleaned = F.regexp_replace(F.regexp_replace(name, "[^A-Za-z0-9._-]+", "_"), "^[._]+|[._]+$", "")
+    """A name without its extension (leading dots begin none), as letters, digits, dots, dashes and underscores."""
+    stem = F.regexp_replace(name, r"(?s)(?<=[^.])\.[^.]*$", "")
+    cleaned = F.regexp_replace(F.regexp_replace(stem, "[^A-Za-z0-9._-]+", "_"), "^[._]+|[._]+$", "")
     return F.coalesce(F.nullif(cleaned, F.lit("")), F.lit("reference"))
 
 
@@ -192,27 +333,44 @@ def relationship_part(part: Column) -> Column:
     return F.regexp_replace(part, "^(.*/)?([^/]+)$", "$1_rels/$2.rels")
 
 
+def _finite(value: Column) -> Column:
+    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
+
+
 def render_scale(dpi: Column, most_edge: Column, width: Column, height: Column) -> Column:
-    return F.least(dpi / 72.0, most_edge / F.greatest(width, height))
+    """Pixels a point of a page of that size, the longer edge within ``most_edge``; null for a page without a size."""
+    scale = F.least(dpi / 72.0, most_edge / F.greatest(width, height))
+    return F.when(_finite(width) & _finite(height) & (width > 0) & (height > 0), scale)
 
 
 def page_polygon(points: Column, scale: Column) -> Column:
-    """Pixel points as page coordinates, to three places; null unless there are four."""
-    moved = F.transform(points, lambda p: F.transform(p, lambda v: F.round(v / scale, 3)))
-    return F.when((F.size(points) == 4) & F.forall(points, lambda p: ~F.exists(p, lambda v: F.isnan(v) | v.isNull())), moved)
+    """Four points (x, y) in whole pixels as page coordinates, to three places; null for anything else."""
+    pixels = F.transform(points, lambda p: F.transform(p, lambda v: F.bround(v, 0)))
+    moved = F.transform(pixels, lambda p: F.transform(p, lambda v: F.round(v / scale, 3)))
+    sound = (F.size(points) == 4) & F.forall(points, lambda p: (F.size(p) == 2) & F.forall(p, _finite))
+    return F.when(F.coalesce(sound, F.lit(False)), moved)
 
 
-def text_fields(raw: Column, normalized: Column) -> Column:
-    """raw, shown and normalised text; the shown one is trimmed."""
-    return F.struct(raw.alias("raw_text"), F.trim(raw).alias("text"), F.coalesce(normalized, F.trim(raw)).alias("normalized_text"))
+def text_fields(raw: Column, text: Column, converted: Column | None = None) -> Column:
+    """raw, cleaned and normalised text: the cleaned one is the raw one where there is none, the normalised one the cleaned one unless it was converted."""
+    cleaned = F.coalesce(text, raw)
+    return F.struct(raw.alias("raw_text"), cleaned.alias("text"), (cleaned if converted is None else F.coalesce(converted, cleaned)).alias("normalized_text"))
 
 
 def drop_nulls(values: Column) -> Column:
     return F.map_filter(values, lambda _, v: v.isNotNull())
 
 
-def usable_settings(dpi: Column, most_edge: Column, confidence: Column) -> Column:
-    return problems(dpi=dpi.between(1, 1200), edge=most_edge.between(1, 65535), confidence=~F.isnan(confidence) & confidence.between(0.0, 1.0))
+def usable_settings(mode: Column, engine: Column, language: Column, dpi: Column, most_edge: Column, confidence: Column) -> Column:
+    """Names of the settings of a recognition run that are out of bounds; the edge must be a whole number."""
+    return problems(
+        mode=F.lower(F.trim(mode)).isin(OCR_MODES),
+        engine=F.trim(engine) != "",
+        language=F.trim(language) != "",
+        dpi=_finite(dpi) & dpi.between(1, 1200),
+        edge=(most_edge == F.floor(most_edge)) & most_edge.between(1, 65535),
+        confidence=_finite(confidence) & confidence.between(0.0, 1.0),
+    )
 
 
 def enrich_images(nodes: DataFrame, recognised: DataFrame, most_assets: int = 100) -> DataFrame:

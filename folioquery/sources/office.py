@@ -11,8 +11,10 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from collections import Counter
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
+from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +32,19 @@ RELATIONSHIPS = "path string, part string, rel_id string, kind string, target st
 REFERENCES = "path string, part string, ordinal int, rel_id string, alt string"
 PARAGRAPHS = "path string, ordinal int, style string, text string"
 CELLS = "path string, sheet string, cell string, value string"
+NODES = "path string, part string, nodes long, problem string"
+BLOCKS = "path string, block int, nodes long"
+REVISIONS = "path string, part string, tag string, times long"
+
+#: Depth of an XML part, nodes of a shard of a Word body and of its largest block, at most.
+MOST_DEPTH, SHARD_NODES, MOST_BLOCK_NODES = 256, 400_000, 1_500_000
+# Marks of revisions in Word, and those that have no accepted view.
+REVISION_TAGS = (
+    "ins", "del", "moveFrom", "moveTo", "rPrChange", "pPrChange", "tblPrChange", "trPrChange", "tcPrChange", "sectPrChange", "tblGridChange", "tblPrExChange",
+    "numberingChange", "moveFromRangeStart", "moveFromRangeEnd", "moveToRangeStart", "moveToRangeEnd", "customXmlInsRangeStart", "customXmlInsRangeEnd",
+    "customXmlDelRangeStart", "customXmlDelRangeEnd", "customXmlMoveFromRangeStart", "customXmlMoveFromRangeEnd", "customXmlMoveToRangeStart", "customXmlMoveToRangeEnd",
+)
+UNSUPPORTED_TAGS = ("cellIns", "cellDel", "cellMerge", "conflictIns", "conflictDel")
 
 
 def _rows(files: DataFrame, schema: str, read: Callable[[zipfile.ZipFile], Iterator[tuple]]) -> DataFrame:
@@ -162,3 +177,103 @@ def sheet_cells(files: DataFrame) -> DataFrame:
                 yield name.rpartition("/")[2][:-4], c.get("r"), value
 
     return _rows(files, CELLS, read)
+
+
+def xml_nodes(files: DataFrame) -> DataFrame:
+    """(path, part, nodes, problem) of each XML part: its elements and those with text before their first child.
+
+    Parts are streamed, so a large one needs no tree. One that is too deep,
+    malformed or declares entities of its own has a problem and no count.
+    """
+
+    def read(package: zipfile.ZipFile) -> Iterator[tuple]:
+        for name in sorted(n for n in package.namelist() if n.endswith((".xml", ".rels"))):
+            with package.open(name) as stream:
+                yield (name, *_streamed_nodes(stream))
+
+    return _rows(files, NODES, read)
+
+
+class _Refused(Exception):
+    pass
+
+
+def _streamed_nodes(stream) -> tuple[int | None, str | None]:
+    found, open_ = 0, []  # for each open element: whether its text before a child isn't blank, None after the first child
+
+    def begin(*_) -> None:
+        nonlocal found
+        if open_:
+            open_[-1] = None
+        open_.append(False)
+        found += 1
+        if len(open_) > MOST_DEPTH:
+            raise _Refused("too_deep")
+
+    def text(value: str) -> None:
+        nonlocal found
+        if open_ and open_[-1] is False and value.strip():
+            open_[-1] = True
+            found += 1
+
+    def doctype(_name, _system, _public, internal) -> None:
+        if internal:
+            raise _Refused("internal_entities")
+
+    parser = expat.ParserCreate()
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler, parser.StartDoctypeDeclHandler = begin, lambda _: open_.pop(), text, doctype
+    parser.SetParamEntityParsing(expat.XML_PARAM_ENTITY_PARSING_NEVER)
+    try:
+        parser.ParseFile(stream)
+    except _Refused as refused:
+        return None, str(refused)
+    except expat.ExpatError:
+        return None, "malformed"
+    return found, None
+
+
+def word_shards(files: DataFrame, most: int = SHARD_NODES) -> DataFrame:
+    """(path, shard, first, last, nodes, problem): runs of blocks of a Word body of at most ``most`` nodes, counted from 1.
+
+    A block of its own that is larger stays whole; one beyond the limit of a block makes its shard a problem.
+    """
+    from folioquery.operators.blocks import pack
+
+    def read(package: zipfile.ZipFile) -> Iterator[tuple]:
+        body = _xml(package, "word/document.xml").find(_W + "body")
+        for k, block in enumerate(body if body is not None else (), 1):
+            yield k, sum(1 + bool(n.text and n.text.strip()) for n in block.iter())
+
+    blocks = _rows(files, BLOCKS, read).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("block", "nodes"))).alias("b"))
+    starts = blocks.withColumn("starts", pack(F.transform("b", lambda x: x["nodes"].cast("int")), most))
+    each = starts.select("path", "b", "starts", F.posexplode("starts").alias("shard", "at"))
+    until = F.coalesce(F.get("starts", F.col("shard") + 1), F.size("b"))
+    own = F.transform(F.slice("b", F.col("at") + 1, until - F.col("at")), lambda x: x["nodes"])
+    problem = F.when(F.exists("own", lambda n: n > MOST_BLOCK_NODES), "block_too_large")
+    out = each.select("path", (F.col("shard") + 1).alias("shard"), (F.col("at") + 1).alias("first"), until.alias("last"), own.alias("own"))
+    return out.select("path", "shard", "first", "last", F.aggregate("own", F.lit(0).cast("long"), lambda a, n: a + n).alias("nodes"), problem.alias("problem"))
+
+
+def word_revisions(files: DataFrame) -> DataFrame:
+    """(path, part, tag, times) of the marks of revisions in the body, headers, footers and notes of Word packages."""
+
+    def read(package: zipfile.ZipFile) -> Iterator[tuple]:
+        for name in sorted(n for n in package.namelist() if re.fullmatch(r"word/(?:document|(?:header|footer)\d+|footnotes|endnotes)\.xml", n)):
+            times = Counter(e.tag[len(_W) :] for e in _xml(package, name).iter() if isinstance(e.tag, str) and e.tag.startswith(_W))
+            for tag in (*REVISION_TAGS, *UNSUPPORTED_TAGS):
+                if times[tag]:
+                    yield name, tag, times[tag]
+
+    return _rows(files, REVISIONS, read)
+
+
+def package_warnings(files: DataFrame) -> DataFrame:
+    """(path, code, message) of what reading a package loses: comments, and revisions that are shown as accepted."""
+    named = F.lower("member").contains("comment") & F.col("member").endswith(".xml")
+    comments = members(files).where(named).select("path").distinct()
+    noted = comments.select("path", F.lit("office_comments_not_preserved").alias("code"), F.lit("Office comments were detected and are not preserved").alias("message"))
+    counted = word_revisions(files).where(F.col("tag").isin(*REVISION_TAGS)).groupBy("path", "tag").agg(F.sum("times").alias("times"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tag", "times"))), lambda x: F.concat(x["tag"], F.lit("="), x["times"])), ", ")
+    summed = counted.groupBy("path").agg(listed.alias("summary"))
+    message = F.concat(F.lit("Word revisions were flattened to the final accepted view ("), "summary", F.lit(")"))
+    return noted.unionByName(summed.select("path", F.lit("office_revisions_flattened_to_accepted_view").alias("code"), message.alias("message")))

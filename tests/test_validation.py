@@ -31,11 +31,14 @@ def test_findings(spark):
 
 def test_cells(spark):
     plan = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "cell_id string")
-    results = spark.createDataFrame([("a", True), ("b", False), ("c", False)], "cell_id string, valid boolean")
-    attempts = spark.createDataFrame([("b", 1)] + [("c", k) for k in range(3)], "cell_id string, n int")
-    assert {r.cell_id: r.status for r in V.collect_results(plan, results, attempts).collect()} == {"a": "accepted", "b": "invalid", "c": "failed", "d": "pending"}
+    results = spark.createDataFrame([("a", "h", 1, None), ("b", "h", 0, ["x"]), ("c", "h", 0, [])], "cell_id string, result_hash string, findings int, problems array<string>")
+    attempts = spark.createDataFrame([("a", "accepted", "h"), ("b", "accepted", "h")], "cell_id string, ledger_status string, accepted_hash string")
+    got = {r.cell_id: (r.status, r.errors) for r in V.collect_results(plan, results, attempts).collect()}
+    assert got == {"a": ("accepted", []), "b": ("FAILED", ["x"]), "c": ("valid_unaccepted", []), "d": ("FAILED", ["no_result"])}
+    got = {r.cell_id: (r.status, r.errors) for r in V.collect_results(plan, results, attempts.withColumn("accepted_hash", F.lit("old")), True).collect()}
+    assert got["a"] == ("FAILED", ["result_changed"]) and got["c"] == ("FAILED", ["not_accepted"])
     cells = spark.createDataFrame([("x", [1, 2, 3]), ("y", [1])], "cell_id string, items array<int>")
-    assert [tuple(r) for r in V.split_cell(cells, "items").collect()] == [("x.a", [1, 2]), ("x.b", [3]), ("y", [1])]
+    assert [tuple(r) for r in V.split_cell(cells, "items").collect()] == [("x.a", [1], "x", None), ("x.b", [2, 3], "x", None), ("y", [1], None, "indivisible")]
     once = V.exactly_once(plan, spark.createDataFrame([("a",), ("a",), ("z",)], "cell_id string"), ["cell_id"]).first()
     assert (once.missing, once.unknown, once.duplicate, once.ok) == (3, 1, 1, False)
     assert V.exactly_once(plan, plan, ["cell_id"]).first().ok
@@ -52,14 +55,16 @@ def test_assets_and_paths(spark):
     rows = [("image/png", b"\x89PNG\r\n\x1a\nxx"), ("image/png", b"GIF89a"), ("image/webp", b"RIFF0000WEBP"), ("text/plain", b"x"), ("image/svg", b"x")]
     got = values(spark, V.asset_problem(F.col("m"), F.col("c")), [(m, bytearray(c)) for m, c in rows], "m string, c binary")
     assert got == [None, "magic_mismatch", None, "not_an_image", "unsupported"]
-    rows = [("a", "a", True, True, False), ("d/", "d/x", False, False, False), ("b", "a", False, False, False), ("b", "a", True, True, True), ("b", "a", True, False, True), ("b", "a", True, False, False)]
-    got = values(spark, V.target_action(*[F.col(c) for c in "tseor"]), rows, "t string, s string, e boolean, o boolean, r boolean")
-    assert got == ["refuse", "refuse", "write", "overwrite", "rename", "skip"]
+    rows = [("a", "a", True, True, False), ("d/", "d/x", False, False, False), ("b", "a", False, False, False), ("b", "a", True, True, True), ("b", "a", True, True, False), ("b", "a", True, False, False), ("http://a", "http://a", False, False, False)]
+    got = values(spark, V.target_action(*[F.col(c) for c in "tseor"], F.lit(True)), rows, "t string, s string, e boolean, o boolean, r boolean")
+    assert got == ["refuse", "refuse", "write", "rename", "overwrite", "collision", "write"]
     assert values(spark, V.is_within(F.col("a"), F.col("b")), [("a/b", "a"), ("ab", "a"), ("a", "a/")], "a string, b string") == [True, False, True]
     assert values(spark, V.result_file(F.col("a")), [("x y/z",)], "a string") == ["x__y__z.json"]
-    assert values(spark, V.safe_stem(F.col("a")), [("..é a..",), ("._",), ("ok",)], "a string") == ["a", "reference", "ok"]
+    assert values(spark, V.safe_stem(F.col("a")), [("..é a..",), ("._",), ("ok",), ("ok.tar.gz",), (".hidden",)], "a string") == ["a", "reference", "ok", "ok.tar", "hidden"]
     assert values(spark, V.relationship_part(F.col("a")), [("word/document.xml",), ("x.xml",)], "a string") == ["word/_rels/document.xml.rels", "_rels/x.xml.rels"]
-    assert values(spark, V.readable(F.col("a")), [("letter " * 8,), ("short",), ("letter " * 8 + "�",), (None,)], "a string") == [True, False, False, False]
+    rows = [("letter " * 8,), ("short",), ("letter " * 8 + "�",), (None,), ("letter " * 8 + V.MOJIBAKE[1],)]
+    assert values(spark, V.readable(F.col("a"), F.replace("a", F.lit(" ")), F.lit("suspected_garbled_text")), rows, "a string") == [True, False, False, False, False]
+    assert values(spark, V.readable(F.col("a"), F.col("a"), F.lit("scanned")), rows[:1], "a string") == [False]
 
 
 def test_images_and_shards(spark):
