@@ -52,3 +52,22 @@ def test_cells(files):
 
 def test_preflight(files):
     assert {r.path: r.problem for r in O.preflight(files).collect()} == {"c.zip": "unsafe_name", "d.docx": "not_a_package", "e.docx": "not_a_package", "g.zip": "ratio"}
+
+
+def test_nodes_of_parts(spark):
+    deep = "<a>" * 257 + "</a>" * 257
+    parts = {"a.xml": "<a> <b>x</b>tail<c/></a>", "b.xml": "<a>x<b> </b></a>", "c.xml": deep, "d.xml": "<a>", "e.xml": '<!DOCTYPE a [<!ENTITY x "y">]><a/>', "f.xml": "<!DOCTYPE html><a/>"}
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    files = spark.createDataFrame([("p", bytearray(out.getvalue()))], "path string, content binary")
+    got = {r.part: (r.nodes, r.problem) for r in O.xml_nodes(files).collect()}
+    assert got == {"a.xml": (4, None), "b.xml": (3, None), "c.xml": (None, "too_deep"), "d.xml": (None, "malformed"), "e.xml": (None, "internal_entities"), "f.xml": (1, None)}
+
+
+def test_revisions_shards_and_warnings(files):
+    assert [(r.path, r.part, r.tag, r.times) for r in O.word_revisions(files).collect()] == [("a.docx", "word/document.xml", t, 1) for t in ("ins", "del")]
+    assert {(r.path, r.message) for r in O.package_warnings(files).collect()} == {("a.docx", "Word revisions were flattened to the final accepted view (del=1, ins=1)")}
+    got = [(r.shard, r.first, r.last, r.nodes) for r in O.word_shards(files, 14).orderBy("shard").collect()]
+    assert got == [(1, 1, 1, 6), (2, 2, 2, 13), (3, 3, 3, 6)]

@@ -104,3 +104,15 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     got = {(r.cell_id, r.seq): r.outcome for r in spark.table("outcomes").collect()}
     want = {(r.cell_id, r.seq): r.outcome for r in ingest(spark.createDataFrame(rows, schema)).collect()}
     assert got == want and len(got) == 199
+
+
+def test_fields_with_line_ends_and_one_known_header(spark):
+    files = [("a.csv", 'Term,Note,To\n"two\nlines",x,y\n'), ("b.csv", "Source,Rest\nu,v\n"), ("c.csv", ""), ("d.csv", None)]
+    got = sorted((r.path, r.source, r.target) for r in G.from_csv(spark.createDataFrame(files, "path string, text string")).collect())
+    assert got == [("a.csv", "two\nlines", "y"), ("b.csv", "Source", "Rest"), ("b.csv", "u", "v")]
+
+
+def test_structured_glossaries_keep_what_they_have(spark):
+    files = [("a.json", '{"terms": [{"source": "u", "target": "v", "confidence": "low", "allowed_targets": ["v", "w"]}, {"source": "u"}]}'), ("b.json", '{"x": "y"}')]
+    got = sorted((r.path, r.source, r.confidence, r.origin, tuple(r.allowed_targets)) for r in G.structured(spark.createDataFrame(files, "path string, text string")).fillna("-", ["confidence"]).collect())
+    assert got == [("a.json", "u", "-", "user_seed", ()), ("a.json", "u", "low", "user_seed", ("v", "w")), ("b.json", "x", "high", "user_seed", ("y",))]
