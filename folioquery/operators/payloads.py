@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioquery.operators.blocks import pack
+from folioquery.operators.blocks import let, pack
 from folioquery.operators.review import ARITY, DEPTH
 from folioquery.operators.validation import PAYLOAD_CHARS, problems
 
@@ -261,29 +261,33 @@ def math_text(text: Column, block: Column) -> Column:
 def runner_problem(command: Column, output: Column) -> Column:
     """Why a runner's output isn't its one line of JSON with the result of the command, or null."""
     lines = F.filter(F.split(F.coalesce(output, F.lit("")), r"\r\n|\r|\n", -1), lambda x: F.regexp_replace(x, r"(?U)\s+", "") != "")
-    line = F.get(lines, F.lit(0))
-    parsed = F.try_parse_json(line)
-    fields = F.from_json(line, "map<string,string>")
-    lacking = F.array_join(F.filter(F.array(*map(F.lit, RESULT_FIELDS)), lambda f: ~F.array_contains(F.map_keys(fields), f)), ",")
-
-    def kind(name: str) -> Column:
-        return F.schema_of_variant(F.try_variant_get(parsed, f"$.{name}", "variant"))
-
-    def text(name: str) -> Column:
-        return F.when(kind(name) == "STRING", F.try_variant_get(parsed, f"$.{name}", "string"))
-
-    return (
-        F.when(F.size(lines) != 1, "not_one_line")
-        .when(parsed.isNull(), "not_json")
-        .when(~F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False)), "not_an_object")
-        .when(lacking != "", F.concat(F.lit("missing:"), lacking))
-        .when(~text("command").eqNullSafe(command), "command")
-        .when(~text("abi").eqNullSafe(F.lit(ABI)), "abi")
-        .when(kind("status") != "STRING", "status")
-        .when(~kind("exit_code").isin("BIGINT"), "exit_code")
-        .when(~kind("data").startswith("OBJECT"), "data")
-        .when(~kind("issues").startswith("ARRAY"), "issues")
-    )
+
+    def judge(line: Column, parsed: Column) -> Column:
+        fields = F.map_keys(F.from_json(line, "map<string,string>"))
+        lacking = F.array_join(F.filter(F.array(*map(F.lit, RESULT_FIELDS)), lambda f: ~F.array_contains(fields, f)), ",")
+
+        def kind(name: str) -> Column:
+            return F.schema_of_variant(F.try_variant_get(parsed, f"$.{name}", "variant"))
+
+        def text(name: str) -> Column:
+            return F.when(kind(name) == "STRING", F.try_variant_get(parsed, f"$.{name}", "string"))
+
+        good = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
+        return (
+            F.when(parsed.isNull(), "not_json")
+            .when(~good, "not_an_object")
+            .when(lacking != "", F.concat(F.lit("missing:"), lacking))
+            .when(~text("command").eqNullSafe(command), "command")
+            .when(~text("abi").eqNullSafe(F.lit(ABI)), "abi")
+            .when(kind("status") != "STRING", "status")
+            .when(~kind("exit_code").isin("BIGINT"), "exit_code")
+            .when(~kind("data").startswith("OBJECT"), "data")
+            .when(~kind("issues").startswith("ARRAY"), "issues")
+        )
+
+    # the lines are split and the JSON is parsed once
+    one = let(lines, lambda x: F.when(F.size(x) == 1, F.get(x, F.lit(0))))
+    return let(one, lambda line: F.when(line.isNull(), "not_one_line").otherwise(let(F.try_parse_json(line), lambda parsed: judge(line, parsed))))
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
