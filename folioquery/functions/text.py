@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import functools
+import re
 import unicodedata
 
 import numpy as np
@@ -22,6 +23,9 @@ def strip_marks(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)).lower())
 
 
+_OTHERS = re.compile(r"[\W_]+")
+
+
 @functools.cache
 def _folded(char: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKC", char).casefold() if c.isalnum())
@@ -47,6 +51,12 @@ def bare_signature(text: pd.Series) -> pd.Series:
     return text.map(lambda x: "".join(map(_folded, x or "")))
 
 
+@F.pandas_udf(T.StringType())
+def letters_and_digits(text: pd.Series) -> pd.Series:
+    """Letters and digits as they stand, without compatibility form or folded case; null is empty."""
+    return text.map(lambda x: _OTHERS.sub("", x or ""))
+
+
 #: Code points of a piece of a signature. A window of 2 * PIECE - 1 or more holds one that starts at a multiple of PIECE of its page.
 PIECE = 16
 
