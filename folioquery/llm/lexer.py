@@ -37,6 +37,7 @@ _TOKEN = re.compile(
 _CLOSERS = {"/*": "*/", "<!--": "-->", '"""': '"""', "'''": "'''", "`": "`"}
 _REST = re.compile(r"[ \t]*+(?P<block>[|>][+\-]?[0-9]?)?[ \t]*+(?:\#[^\n]*+)?(?=\r?\n)")
 _ITEM = re.compile(r"[ \t]*+(?:-[ \t]++)?")
+_SPACE = re.compile(r"\s*+")
 _GAP = re.compile(r"[ \t]*+(?:\\?\r?\n[ \t]*+)?(?:(?:\+|\.\.?|&)(?=[ \t\r\n]*+[rRbBuUfF]{0,2}[\"'])[ \t]*+(?:\\?\r?\n[ \t]*+)?)?")
 #: Names that say nothing of their own, so that the one around them counts.
 GENERIC = frozenset({"value", "val", "default", "data", "content", "text", "string", "literal", "item", "raw", "plain"})
@@ -162,7 +163,7 @@ class _Reader:
         names = self.named(names)
         opener = text[at : at + 1]
         if opener == "(":  # strings in parentheses may go on over lines
-            inner = at + 1 + len(text[at + 1 :]) - len(text[at + 1 :].lstrip()) if text[at + 1 : at + 2].isspace() and len(text) - at < 4096 else at + 1
+            inner = _SPACE.match(text, at + 1).end()
             pieces, end = _pieces(text, inner, True)
             if pieces:
                 self.around.append((None, None))

@@ -137,6 +137,22 @@ def test_broken_syntax_takes_linear_time(piece):
     assert time.perf_counter() - began < 15
 
 
+def test_the_length_of_a_text_changes_no_span():
+    for text, _ in LABELLED:
+        for filler in ("\n" + "word " * 1000, "\n" * 5000, "\n" + "some words\n" * 50_000):
+            assert lexed_spans(text + filler) == lexed_spans(text)
+    for gap in ("\n    ", "\n" * 5000, " " * 5000, "\r\n\t" * 2000, "\u3000" * 5000):
+        text = f'auth_key = ({gap}"Zx81-qwe"\n "rty-99")'
+        assert [text[a:b] for a, b in lexed_spans(text)] == ["Zx81-qwe", "rty-99"]
+
+
+@pytest.mark.parametrize("piece", ["auth_key=(\n", "auth_key=(   ", "(\n"])
+def test_open_parentheses_take_linear_time(piece):
+    began = time.perf_counter()
+    assert lexed_spans(f"auth_key={piece * 100_000}{' ' * 100_000}x") == []
+    assert time.perf_counter() - began < 15
+
+
 def test_long_chains_take_linear_time():
     chain = "a = " * 30_000
     assert lexed_spans(chain + "{") == []
